@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .buffers import ragged, ship, slices, text_buffer
 from .pieces import SHORT, PieceTable
@@ -272,6 +273,30 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def encode_and_verify(docs: DataFrame, path: str, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    """The kept columns, and n_tokens, ids array<int> and decoded, the text that the arcs of these ids emit."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = broadcast_tables(spark, path)
+    names = [*(f"c{i}" for i in range(len(keep))), "n_tokens", "ids", "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(shared)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for a, b, part, edges in slices(data, offsets):
+                ids, before = machine.encode(part, edges)
+                raw, at = machine.decode(ids, before)
+                raw = raw.tobytes()
+                texts = [raw[x:y].decode("utf-8", "replace") for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                own = [pa.array(np.diff(before), pa.int64()), pa.ListArray.from_arrays(pa.array(before, pa.int32()), pa.array(ids, pa.int32())), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[1:]), *own], names=names)
+
+    kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    inner = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
+    return inner.mapInArrow(run, f"{kinds}, n_tokens bigint, ids array<int>, decoded string").toDF(*keep, "n_tokens", "ids", "decoded")
+
+
 def decode_ids(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of every row of ids, by emitting arc labels; bytes that are no UTF-8 become U+FFFD; a null list is empty."""
     spark = encoded.sparkSession

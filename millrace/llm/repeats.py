@@ -300,6 +300,21 @@ def cut_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.join(cuts, ["u1", "u2"], "left").select("u1", "u2", "text", "copies", "cuts").mapInArrow(_cut, "u1 bigint, u2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
+def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All rows of docs, their texts without repeated passages; a character that a cut splits goes as a whole, and a null text becomes empty."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_u1", "_u2", "_text"])
+
+    done = cut_texts(docs, text_col).filter("n_removed > 0").select("u1", "u2", "kept").mapInArrow(whole, "_u1 bigint, _u2 bigint, _text string")
+    u1, u2 = text_key("_own")
+    rows = docs.withColumn("_own", F.coalesce(F.col(text_col), F.lit(""))).withColumns({"_k1": u1, "_k2": u2})
+    out = rows.join(done, (F.col("_k1") == F.col("_u1")) & (F.col("_k2") == F.col("_u2")), "left")
+    return out.select(*(F.coalesce("_text", "_own").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     done = materialise(docs.sparkSession, cut_texts(docs, text_col).drop("kept"), "cut")
