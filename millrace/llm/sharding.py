@@ -81,9 +81,20 @@ def _descend(rows: DataFrame, level: list[tuple]) -> DataFrame:
     return known.withColumn("node", F.when(F.col("dimension") < 0, F.col("node")).when(key < F.col("cut"), F.col("low")).otherwise(F.col("high"))).drop("dimension", "cut", "low", "high")
 
 
+def _room(load: list[int], light: int) -> list[float]:
+    """What each shard takes of the light rows, so that all shards that are not above it come to one level."""
+    ordered, level = sorted(load), 0.0
+    for i, x in enumerate(ordered):
+        level = (light + sum(ordered[: i + 1])) / (i + 1)
+        if i + 1 == len(ordered) or level <= ordered[i + 1]:
+            break
+    return [max(0.0, level - x) for x in load]
+
+
 def _grow(light: DataFrame, shards: int, load: list[int]) -> list[list[tuple]]:
     """The levels of the tree: of every node (name, dimension, cut, left child, right child); dimension -1 for a leaf."""
     rows, levels, nodes = light.withColumn("node", F.lit(f"0-{shards}")), [], [(0, shards)]
+    room = _room(load, light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
     ranges: dict[int, float] | None = None
     while any(b - a > 1 for a, b in nodes):
         spread = [f(F.shiftright(d, 32)).alias(f"{d}{n}") for d in _DIMENSIONS for f, n in ((F.min, "a"), (F.max, "b"))]
@@ -103,8 +114,8 @@ def _grow(light: DataFrame, shards: int, load: list[int]) -> list[list[tuple]]:
                 level.append((name, 0, 0, f"{a}-{mid}", f"{mid}-{b}"))
                 continue
             widest = max(range(len(_DIMENSIONS)), key=lambda i: ((r[f"d{i}b"] - r[f"d{i}a"]) / ranges[i], -i))
-            left, right = sum(load[a:mid]), sum(load[mid:b])
-            target = min(max((r.w + left + right) * (mid - a) / (b - a) - left, 0), r.w)
+            left, right = sum(room[a:mid]), sum(room[mid:b])
+            target = r.w * left / max(left + right, 1e-9)
             search[name] = {"dim": widest, "low": r[f"d{widest}x"], "high": r[f"d{widest}y"] + 1, "target": target, "below": 0, "weight": r.w, "children": (f"{a}-{mid}", f"{mid}-{b}")}
         open_nodes = dict(search)
         while open_nodes:
