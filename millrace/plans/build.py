@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from datetime import UTC, datetime
 
@@ -140,17 +141,36 @@ class Builder:
         return set(self.run_all()) <= {"SKIPPED_ALREADY_APPLIED"} and self.state_checksums() == before
 
     def evidence(self) -> dict[str, object]:
-        """Bounded counts and sums of the current version, as canonical JSON would hold them."""
+        """Bounded counts, bridges and sums of the current version, as canonical JSON would hold them; every section is a small aggregate."""
         t = self.tables()
+        orders, fact, members = t["orders"], t["fact_order"], t["dim_member"].filter("member_sk <> 0")
+        decided, by_rule, hit = t["entity_disposition"], t["entity_rule"], t["issue_hit"]
         rows = lambda df, *order: [r.asDict() for r in df.orderBy(*order).collect()]
-        money = t["fact_order"].agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in ("gross_amount_twd_exact", "net_amount_twd_exact", "gross_amount_twd", "net_amount_twd"))).first().asDict()
-        out = {
+        one = lambda df: df.first().asDict()
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("string").alias(c) for c in ("gross_amount_twd_exact", "net_amount_twd_exact", "gross_amount_twd", "net_amount_twd")]
+        refused = decided.filter("entity_type = 'order' and not is_eligible").select(F.col("business_key").alias("order_id"))
+        rules_of = by_rule.filter("entity_type = 'order' and disposition = 'QUARANTINE'").groupBy("business_key").agg(F.count("*").alias("rules"))
+        versions = members.groupBy("member_id").agg(F.count("*").alias("versions"))
+        return {
+            "batches": [{k: a.get(k) for k in ("attempt_id", "batch_order", "file", "sha256", "status")} for a in self.warehouse.ledger()["attempts"]],
             "counts": {k: df.count() for k, df in t.items()},
-            "money": money,
-            "dispositions": rows(t["entity_disposition"].groupBy("entity_type", "disposition").count(), "entity_type", "disposition"),
-            "rules": rows(t["entity_rule"].groupBy("rule_id", "disposition").agg(F.count("*").alias("entities"), F.sum("row_count").alias("rows")), "rule_id", "disposition"),
-            "members": {"versions": t["dim_member"].filter("member_sk <> 0").count(), "current": t["dim_member"].filter("is_current").count()},
+            "events": one(orders.agg(F.count("*").alias("physical"), F.countDistinct("canonical_event_hash").alias("logical"), F.countDistinct("order_id").alias("orders"), F.count_if("currency_normalized").alias("currency_normalized"))),
+            "dispositions": rows(decided.groupBy("entity_type", "disposition").count(), "entity_type", "disposition"),
+            "rules": rows(by_rule.groupBy("rule_id", "disposition").agg(F.count("*").alias("entities"), F.sum("row_count").alias("rows")), "rule_id", "disposition"),
+            "order_bridge": {"all": orders.select("order_id").distinct().count(), "refused": refused.count(), "facts": fact.count()},
+            "invariant_bridge": {"conflicting": by_rule.filter("rule_id = 'ORD-004'").count(), "in_facts": fact.join(by_rule.filter("rule_id = 'ORD-004'").select(F.col("business_key").alias("order_id")), "order_id", "left_semi").count()},
+            "timezone_bridge": {"assumed_rows": orders.filter("timezone_assumed").count(), "assumed_hits": hit.filter("rule_id = 'ORD-012'").count(), "assumed_facts": fact.filter("timezone_assumed").count()},
+            "quarantine_overlap": rows(rules_of.groupBy("rules").agg(F.count("*").alias("orders")), "rules"),
+            "late": {"rows": hit.filter("rule_id = 'INC-001'").count(), "facts": fact.filter("late_event_flag").count()},
+            "members": {"versions": members.count(), "current": members.filter("is_current").count(), "lineage": t["member_lineage"].count()},
+            "member_versions": rows(versions.groupBy("versions").agg(F.count("*").alias("members")), "versions"),
+            "unknown": one(fact.agg(F.count_if("unknown_member_flag").alias("members"), F.count_if("unknown_product_flag").alias("products"))),
+            "dates": one(t["dim_date"].agg(F.min("full_date").cast("string").alias("first"), F.max("full_date").cast("string").alias("last"), F.count("*").alias("days"))),
+            "money": one(fact.agg(*sums)),
+            "money_by_currency": rows(fact.groupBy("currency").agg(F.count("*").alias("orders"), *sums), "currency"),
             "state": self.state_checksums(),
         }
-        canonical_json(out)
-        return out
+
+    def snapshot_checksum(self) -> str:
+        """SHA-256 of the evidence as canonical JSON."""
+        return hashlib.sha256(canonical_json(self.evidence()).encode()).hexdigest()

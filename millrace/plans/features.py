@@ -60,3 +60,24 @@ def cold_slices(df: DataFrame, keys: list[str]) -> DataFrame:
 def leaky_rate(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """The plain mean of labels over all time: the negative control, which sees its own label and the future."""
     return df.withColumn("rate", F.avg(F.col(label).cast("double")).over(Window.partitionBy(*keys)))
+
+
+def fit_classifier(train: DataFrame, numbers: list[str], label: str):
+    """A scaler and a logistic regression, both fitted on the training part alone."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    steps = [VectorAssembler(inputCols=numbers, outputCol="_raw", handleInvalid="error"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), LogisticRegression(featuresCol="_scaled", labelCol=label, regParam=0.01)]
+    return Pipeline(stages=steps).fit(train)
+
+
+def evaluate(model, part: DataFrame, label: str) -> dict[str, float]:
+    """Areas under the ROC and the precision-recall curve, and the Brier score."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(part)
+    area = lambda metric: BinaryClassificationEvaluator(labelCol=label, metricName=metric).evaluate(scored)
+    chance = vector_to_array("probability")[1]
+    return {"roc": area("areaUnderROC"), "pr": area("areaUnderPR"), "brier": scored.agg(F.avg((chance - F.col(label)) ** 2)).first()[0]}

@@ -111,6 +111,21 @@ def test_detectors(spark, base_sources):
     assert {r.semantics: r.members for r in detectors.birth_semantics(raw).collect()} == {"restated": 1, "unknown": 1}
 
 
+def test_profiles(spark, base_sources):
+    from millrace.plans import profiling
+
+    raw = read_raw(spark, f"file://{base_sources}/members.csv", C.MEMBERS, "members.csv").cache()
+    got = {r.column_name: r for r in profiling.columns(raw, C.MEMBERS).collect()}
+    assert got["birth_date"].sentinel_count == 2 and got["member_id"].distinct_count == 6 and got["member_level"].domain_violations == 0 and got["extract_date"].parse_failures == 0
+    assert {r.column_name: r.minimum for r in profiling.typed_ranges(raw, C.MEMBERS).collect()}["extract_date"] == "2026-04-30"
+    one = profiling.files(raw, C.MEMBERS).first()
+    assert (one.row_count, one.duplicate_groups, one.surplus_rows, one.repeated_keys) == (13, 1, 1, 2)
+    top = {(r.column_name, r.place): (r.value, r.frequency) for r in profiling.top_values(raw, C.MEMBERS).collect()}
+    assert top[("city", 1)] == ("台北", 10) and top[("member_name", 1)][0] == "<HIDDEN>"
+    orders = read_raw(spark, f"file://{base_sources}/orders_base.csv", C.ORDERS, "orders_base.csv")
+    assert {r.column_name: str(r.p50) for r in profiling.quantiles(orders, C.ORDERS).collect()}["amount"] == "100.00000000"
+
+
 def test_csv_is_strict(spark, tmp_path):
     path = tmp_path / "fx_rates.csv"
     write_csv(path, ["rate_date", "currency", "other"], [["2026-05-01", "USD", "1"]])
@@ -134,7 +149,8 @@ def test_batches_replay_and_lineage(spark, batch_sources, tmp_path):
     assert sorted(r["count"] for r in copies) == [1, 2]
     assert [a["status"] for a in b.warehouse.ledger()["attempts"]] == ["SUCCEEDED"] * 4
     assert b.replay_proof()
-    assert b.evidence()["counts"]["fact_order"] == 5
+    shown = b.evidence()
+    assert shown["counts"]["fact_order"] == 5 and shown["order_bridge"] == {"all": 6, "refused": 1, "facts": 5} and shown["late"] == {"rows": 1, "facts": 1}
     write_csv(batch_sources / "members.csv", C.MEMBERS.names, [member(1)])
     with pytest.raises(BuildError):
         b.build_base()
