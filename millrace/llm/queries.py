@@ -63,4 +63,4 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (op1_bpe_round_trip, op2_language_id, op3_quality_rules, op4_exact_top_k, op5_token_store, op6_simhash_near_dedup, op7_mixing, op8_suffix_dedup, op9_token_counts, op10_sharding)
 }
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_top_k": topk.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
