@@ -6,6 +6,7 @@ so that cost per document is a few numpy calls and not a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -14,7 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once by the numpy kernels; a longer document is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another C library
+    _LIBC = None
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -33,7 +40,7 @@ def ship(spark) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     try:  # bounds a batch of very long texts
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     except Exception as error:  # pragma: no cover - an older Spark that refuses unknown settings
@@ -82,6 +89,14 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> I
         end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives through many tasks, and its heap would stay at its largest."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -12,7 +12,7 @@ from .presplit import presplit
 #: Pieces up to this many bytes are looked up by a 64-bit hash, longer ones by their bytes.
 SHORT = 64
 #: A worker's table starts anew beyond so many ids or pieces.
-MOST_IDS, MOST_PIECES = 8_000_000, 1_000_000
+MOST_IDS, MOST_PIECES = 4_000_000, 500_000
 
 
 class PieceTable:
