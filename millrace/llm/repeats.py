@@ -32,6 +32,8 @@ from .suffix_sort import deep_shallow_sort
 SPAN, KGRAM = 200, 32
 #: Members of a group, at most, that are compared in pairs; larger ones go offset by offset.
 PAIRS = 48
+#: Strips of an anchor, at most, that one task sorts; an anchor with more is settled window by window, by an aggregation that starts on every task.
+MOST_GROUP = 20_000
 PLAIN, REPEATED, PASSING = 0, 1, 2  # of a strip: nothing known, an equal one is elsewhere, the same and not to be compared
 
 
@@ -150,13 +152,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u1, u2, text, asked: list of (h, p, kind)) to strips (h, u1, u2, p, strip text)."""
+    """(u1, u2, text, asked: list of (h, p, wide)) to strips (h, u1, u2, p, wide, strip text)."""
     for batch in batches:
         data, offsets = text_buffer(batch.column(2))
         asked = batch.column(3)
         flat = asked.flatten()
         row = np.repeat(np.arange(batch.num_rows), np.asarray(asked.value_lengths().fill_null(0)))
-        h, p = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        h, p, wide = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
         start, count, _, _ = _unpack(p)
         length = count + SPAN - 1
         u1, u2 = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
@@ -166,7 +168,22 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             edges = np.zeros(len(length[of]) + 1, np.int32)
             np.cumsum(length[of], out=edges[1:])
             texts = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(body))])
-            yield pa.RecordBatch.from_arrays([pa.array(h[of]), pa.array(u1[of]), pa.array(u2[of]), pa.array(p[of]), texts], names=["h", "u1", "u2", "p", "strip"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[of]), pa.array(u1[of]), pa.array(u2[of]), pa.array(p[of]), pa.array(wide[of].astype(bool)), texts], names=["h", "u1", "u2", "p", "wide", "strip"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, u1, u2, p, strip) to its windows (h, before, w1, w2, u1, u2, place): bytes before the anchor and 128 bits of the window."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2048):
+            rows = batch.slice(a, 2048)
+            h, u1, u2, p = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            data, offsets = text_buffer(rows.column(4))
+            start, count, before, _ = _unpack(p)
+            row = np.repeat(np.arange(len(p)), count)
+            shift = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            at = offsets[row] + shift
+            hashes = [span_hash(prefix_hash(byte_codes(x)), at, at + SPAN).view(np.int64) for x in (data, data ^ np.uint8(0x5A))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[row], before[row] - shift, *hashes, u1[row], u2[row], (start + before)[row])], names=["h", "before", "w1", "w2", "u1", "u2", "place"])
 
 
 def repeats_around_anchors(data: np.ndarray, offsets: np.ndarray, before: np.ndarray, group: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +274,7 @@ def text_key(text: str) -> tuple:
     return F.xxhash64(F.lit(1), text).alias("u1"), F.xxhash64(F.lit(2), text).alias("u2")
 
 
-def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GROUP) -> tuple[DataFrame, DataFrame]:
     """The texts table, and the repeated spans (u1, u2, first, end) of texts that occur once; spans may overlap."""
     spark = docs.sparkSession
     ship(spark)
@@ -267,10 +284,22 @@ def spans(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame
     met = strips.repartition(n, "h").sortWithinPartitions("h", "strip").mapInArrow(_meet, "h bigint, u1 bigint, u2 bigint, p bigint, kind int")
     met = materialise(spark, met, "strips")
     whole = met.filter("(kind & 1) = 1").select("u1", "u2", F.expr("p >> 22").alias("first"), F.expr(f"(p >> 22) + ((p >> 12) & 1023) + {SPAN - 1}").alias("end"))
-    asked = met.filter("kind >= 2").groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "p")).alias("asked"))
-    fetched = texts.select("u1", "u2", "text").join(asked, ["u1", "u2"]).select("u1", "u2", "text", "asked").mapInArrow(_fetch, "h bigint, u1 bigint, u2 bigint, p bigint, strip binary")
-    sorted_out = fetched.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sort, "u1 bigint, u2 bigint, first bigint, end bigint")
-    return texts, materialise(spark, whole.unionByName(sorted_out), "spans")
+    wanted = met.filter("kind >= 2").select("u1", "u2", "h", "p")
+    large = materialise(spark, wanted.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > most_group).select("h", F.lit(True).alias("wide")), "large")
+    some = not large.isEmpty()
+    marked = wanted.join(large, "h", "left").fillna(False, ["wide"]) if some else wanted.withColumn("wide", F.lit(False))
+    asked = marked.groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "p", "wide")).alias("asked"))
+    fetched = texts.select("u1", "u2", "text").join(asked, ["u1", "u2"]).select("u1", "u2", "text", "asked").mapInArrow(_fetch, "h bigint, u1 bigint, u2 bigint, p bigint, wide boolean, strip binary")
+    fetched = materialise(spark, fetched, "fetched") if some else fetched
+    narrow = fetched.filter("not wide") if some else fetched
+    found = narrow.select("h", "u1", "u2", "p", "strip").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sort, "u1 bigint, u2 bigint, first bigint, end bigint")
+    if some:
+        windows = fetched.filter("wide").select("h", "u1", "u2", "p", "strip").mapInArrow(_windows, "h bigint, before bigint, w1 bigint, w2 bigint, u1 bigint, u2 bigint, place bigint")
+        same = ["h", "before", "w1", "w2"]
+        twice = windows.groupBy(*same).agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+        around = windows.join(twice, same).groupBy("u1", "u2", "place").agg(F.max("before").alias("left"), F.min("before").alias("right"))
+        found = found.unionByName(around.select("u1", "u2", (F.col("place") - F.col("left")).alias("first"), (F.col("place") - F.col("right") + SPAN).alias("end")))
+    return texts, materialise(spark, whole.unionByName(found), "spans")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,9 +322,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(7)], names=names)
 
 
-def cut_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def cut_texts(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GROUP) -> DataFrame:
     """Of every different text: (u1, u2, n_bytes, n_removed, n_spans, kept_sha256, kept binary)."""
-    texts, found = spans(docs, text_col)
+    texts, found = spans(docs, text_col, most_group)
     cuts = found.groupBy("u1", "u2").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
     return texts.join(cuts, ["u1", "u2"], "left").select("u1", "u2", "text", "copies", "cuts").mapInArrow(_cut, "u1 bigint, u2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
@@ -315,8 +344,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.select(*(F.coalesce("_text", "_own").alias(c) if c == text_col else F.col(c) for c in docs.columns))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_group: int = MOST_GROUP) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    done = materialise(docs.sparkSession, cut_texts(docs, text_col).drop("kept"), "cut")
+    done = materialise(docs.sparkSession, cut_texts(docs, text_col, most_group).drop("kept"), "cut")
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("own")).select(id_col, *text_key("own"))
     return rows.join(done, ["u1", "u2"]).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
