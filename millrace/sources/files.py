@@ -18,22 +18,19 @@ class HeaderMismatch(ValueError):
 
 
 def _bytes(spark: SparkSession, path: str) -> bytes:
-    """A source file's content, by Spark's reader, so that any store that Spark knows will do."""
+    """A small file's content, by Spark's reader, so that any store that Spark knows will do."""
     rows = spark.read.format("binaryFile").load(path).select("content").collect()
     return bytes(rows[0].content)
 
 
 def fingerprint(spark: SparkSession, path: str, contract: Contract) -> dict[str, object]:
-    """SHA-256 of the file and of its header, bytes and rows; the content stays on the executors."""
-    import csv
-    import io
-
-    raw = _bytes(spark, path)
-    rows = csv.reader(io.StringIO(raw.decode("utf-8-sig"), newline=""))
-    header = next(rows, [])
+    """SHA-256 of the file and of its header, bytes and rows. Hashing and counting are done where the file is read; only its first bytes come to the driver."""
+    head = F.substring("content", 1, 4096).cast("string").alias("head")
+    own = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("sha256"), "length", head).first()
+    header = own.head.split("\n")[0].lstrip("\ufeff").rstrip("\r").split(",")
     if header != contract.names:
         raise HeaderMismatch(f"{path}: {header}")
-    return {"sha256": hashlib.sha256(raw).hexdigest(), "schema_sha256": hashlib.sha256(",".join(header).encode()).hexdigest(), "bytes": len(raw), "rows": sum(1 for _ in rows)}
+    return {"sha256": own.sha256, "schema_sha256": hashlib.sha256(",".join(header).encode()).hexdigest(), "bytes": own.length, "rows": read_raw(spark, path, contract, "").count()}
 
 
 def read_raw(spark: SparkSession, path: str, contract: Contract, source_file: str, batch_order: int = 0) -> DataFrame:
