@@ -28,6 +28,8 @@ from .buffers import running, ship, slices, text_buffer
 from .presplit import LETTER, classes
 
 PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES = 400, 40, 64
+#: Parts of a language among which its first documents are sought.
+PARTS = 32
 FOLDS = 5
 ALPHABET = 125  # symbols 2 to 126; 0 any other letter, 1 no letter
 _BITS = 7
@@ -124,6 +126,9 @@ def fit(docs: DataFrame) -> Model:
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("by"))
     langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     first = usable.filter(F.col("lang").isin(langs)) if langs else usable.limit(0)
+    # First within parts of a language, so that a task gets no more than parts x PER_LANGUAGE rows of one, however many tasks there are.
+    part = F.pmod("by", F.lit(PARTS))
+    first = first.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("by", "doc_id"))).filter(F.col("place") <= PER_LANGUAGE)
     first = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("by", "doc_id"))).filter(F.col("place") <= PER_LANGUAGE)
     chosen = sorted((r.lang, r.place, r.doc_id) for r in first.collect())  # PER_LANGUAGE x MOST_LANGUAGES at most
     if not chosen:
