@@ -16,10 +16,10 @@ MOST_IDS, MOST_PIECES = 4_000_000, 500_000
 
 
 class PieceTable:
-    """resolve(bytes, starts, lengths) gives the ids of pieces, back to back, and how many each has; special is the id of the special string's piece, or None."""
+    """resolve(bytes, starts, lengths) gives the ids of pieces, back to back, and how many each has; special is the special string and the id of its piece, or None; times: how many times the usual size the table may take, for a resolve that is slow."""
 
-    def __init__(self, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], special: tuple[bytes, int] | None = None):
-        self.resolve, self.special = resolve, special
+    def __init__(self, resolve: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], special: tuple[bytes, int] | None = None, times: int = 1):
+        self.resolve, self.special, self.times = resolve, special, times
         self.clear()
 
     def clear(self) -> None:
@@ -44,7 +44,7 @@ class PieceTable:
 
     def find(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, special: np.ndarray) -> np.ndarray:
         """The place in the table of every piece."""
-        if self.n_ids > MOST_IDS or self.n > MOST_PIECES:
+        if self.n_ids > self.times * MOST_IDS or self.n > self.times * MOST_PIECES:
             self.clear()
         place = np.empty(len(starts), np.int64)
         short = lengths <= SHORT

@@ -164,7 +164,7 @@ class LibraryEncoder:
         if (d["pre_tokenizer"] or {}).get("type") != "ByteLevel" or d["pre_tokenizer"]["add_prefix_space"] or d["normalizer"] or len(d["added_tokens"]) > 1:
             raise ValueError("a byte-level BPE without normalizer, prefix space or several added tokens is asked for")
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = PieceTable(self.run, next(((x["content"].encode(), x["id"]) for x in d["added_tokens"]), None))
+        self.pieces = PieceTable(self.run, next(((x["content"].encode(), x["id"]) for x in d["added_tokens"]), None), times=3)
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
