@@ -290,6 +290,27 @@ def test_near_copies(docs, rows):
     assert kept == collections.Counter(None if none else i for none, i in best.values())
 
 
+def kept_ids(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r.doc_id for r in near_copies.one_of_each(rows).collect())
+
+
+def test_appended_and_cut_copies_are_near_copies(spark):
+    """Texts with a passage of other words behind them, and texts cut off, down to a Jaccard index just above 0.8; each at its edge, one word beyond, too."""
+    rng = random.Random(11)
+    texts, expected = [], []
+    for i in range(120):
+        n = rng.choice([40, 150, 600])
+        own = [f"w{i}x{rng.randrange(10**6)}" for _ in range(n)]
+        shingles = n - 4
+        most = shingles // 4 if i % 2 else shingles // 5  # words that may be appended, or cut off
+        change = rng.randint(most // 2, most) if i % 3 else most + (i % 4 > 1)
+        other = own + [f"v{i}y{rng.randrange(10**6)}" for _ in range(change)] if i % 2 else own[: n - change]
+        expected += [len(texts)] if change <= most else [len(texts), len(texts) + 1]
+        texts += [" ".join(own), " ".join(other)]
+    assert kept_ids(spark, texts) == expected
+
+
 def brute_repeats(rows):
     raw, count = [(r[0], (r[1] or "").encode()) for r in rows], collections.Counter()
     for _, t in raw:
