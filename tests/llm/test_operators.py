@@ -311,6 +311,23 @@ def test_appended_and_cut_copies_are_near_copies(spark):
     assert kept_ids(spark, texts) == expected
 
 
+def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
+    """Copies that are near their original only, and a chain of texts each near its neighbours only, with buckets and blocks of three."""
+    monkeypatch.setattr(near_copies, "FEW", 3, raising=False)
+    monkeypatch.setattr(near_copies, "BLOCK", 3, raising=False)
+    rng = random.Random(12)
+    own = [f"o{i}" for i in range(150)]
+    texts = [" ".join(own)]
+    for i in range(300):
+        words, at = list(own), rng.randrange(5, 30)
+        for k in range(3):
+            words[at + 40 * k] = f"new{i}x{k}"
+        texts.append(" ".join(words))
+    chain = [f"c{i}" for i in range(400)]
+    texts += [" ".join(chain[k : k + 150]) for k in range(0, 240, 6)]
+    assert kept_ids(spark, texts) == [0, 301]
+
+
 def brute_repeats(rows):
     raw, count = [(r[0], (r[1] or "").encode()) for r in rows], collections.Counter()
     for _, t in raw:
