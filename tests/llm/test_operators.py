@@ -328,6 +328,19 @@ def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch):
     assert kept_ids(spark, texts) == [0, 301]
 
 
+def test_texts_of_the_same_words_meet_each_other(spark):
+    """Of three texts of the same words only two are near copies, and a fourth one with a further word is near these two."""
+    rng = random.Random(13)
+    texts, expected = [], []
+    for i in range(20):
+        own = [f"s{i}x{k}" for k in range(100)]
+        other = rng.sample(own, 100)
+        swapped = own[:-2] + own[:-3:-1]
+        expected += [len(texts), len(texts) + 1]
+        texts += [" ".join(other), " ".join(own), " ".join(swapped), " ".join([*swapped, f"t{i}"])]
+    assert kept_ids(spark, texts) == expected
+
+
 def brute_repeats(rows):
     raw, count = [(r[0], (r[1] or "").encode()) for r in rows], collections.Counter()
     for _, t in raw:
