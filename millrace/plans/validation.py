@@ -12,6 +12,7 @@ from ..functions.money import reported
 from ..operators import scd2
 from ..operators.rules import panel
 from ..operators.states import latest
+from .curated import eligible, snapshot_key
 
 Tables = dict[str, DataFrame]
 
@@ -44,7 +45,11 @@ def base_checks(t: Tables) -> dict[str, DataFrame]:
     sized = reduce(DataFrame.unionByName, (_difference(df.distinct(), decided.filter(F.col("entity_type") == e).select("business_key")) for e, df in grain.items()))
     exact = F.col("rate_to_twd").cast("decimal(17,8)") * F.col("original_amount").cast("decimal(20,4)")
     home = (F.col("currency") == "TWD") & (F.col("rate_to_twd") != 1)
-    assumed = orders.filter("timezone_assumed").select("source_row_uid")
+    assumed = orders.filter("timezone_assumed").select("source_row_uid", "order_id")
+    placed = decided.filter("entity_type = 'order'").groupBy(F.col("business_key").alias("order_id")).agg(F.count("*").alias("n"))
+    reliable = eligible(members.filter("not same_day_conflict"), decided, "member", F.col("member_id"))
+    accepted, traced = eligible(reliable, decided, "member_snapshot", snapshot_key()).select("source_row_uid"), t["member_lineage"].select("source_row_uid", "member_sk")
+    untraced = accepted.join(traced, "source_row_uid", "left_anti").unionByName(traced.join(accepted, "source_row_uid", "left_anti").select("source_row_uid"))
     return {
         "RAW_STAGING_ORDER_COUNT": _difference(t["raw_orders"], orders), "RAW_STAGING_MEMBER_COUNT": _difference(t["raw_members"], members),
         "RAW_STAGING_PRODUCT_COUNT": _difference(t["raw_products"], t["products"]), "RAW_STAGING_FX_COUNT": _difference(t["raw_fx_rates"], t["fx_rates"]),
@@ -64,8 +69,8 @@ def base_checks(t: Tables) -> dict[str, DataFrame]:
         "QUARANTINE_ROW_DUPLICATE": _repeats(t["quarantine_row"], "dataset", "row_uid"),
         "ORDER_CANONICAL_CONFLICT_RULE_RECONCILIATION": conflicting.join(rule("ORD-004"), "order_id", "left_anti").unionByName(rule("ORD-004").join(conflicting, "order_id", "left_anti")),
         "ENTITY_DISPOSITION_SOURCE_GRAIN_RECONCILIATION": sized,
-        "MEMBER_ACCEPTED_LINEAGE_RECONCILIATION": t["member_lineage"].select("member_sk").join(known, "member_sk", "left_anti"),
-        "TIMEZONE_ASSUMPTION_DISPOSITION_PARTITION": assumed.join(hit.filter("rule_id = 'ORD-012'").select(F.col("row_uid").alias("source_row_uid")), "source_row_uid", "left_anti"),
+        "MEMBER_ACCEPTED_LINEAGE_RECONCILIATION": untraced.unionByName(traced.join(known, "member_sk", "left_anti").select("source_row_uid")).unionByName(_repeats(traced, "source_row_uid").select("source_row_uid")),
+        "TIMEZONE_ASSUMPTION_DISPOSITION_PARTITION": assumed.join(hit.filter("rule_id = 'ORD-012'").select(F.col("row_uid").alias("source_row_uid")), "source_row_uid", "left_anti").select("source_row_uid").unionByName(assumed.join(placed, "order_id", "left").filter("n is null or n <> 1").select("source_row_uid")),
         "TIMEZONE_FACT_SELECTED_SOURCE_FLAG": fact.select("source_row_uid", F.col("timezone_assumed").alias("flag")).join(orders.select("source_row_uid", "timezone_assumed"), "source_row_uid").filter("flag <> timezone_assumed").select("source_row_uid"),
     }
 

@@ -35,6 +35,18 @@ def test_all_base_checks_have_names(base):
     assert len(base_checks(base)) == 32
 
 
+def test_checks_miss_no_snapshot_without_lineage_and_no_row_without_disposition(base):
+    from millrace.plans.validation import base_checks
+
+    lineage = "MEMBER_ACCEPTED_LINEAGE_RECONCILIATION"
+    zone = "TIMEZONE_ASSUMPTION_DISPOSITION_PARTITION"
+    whole = base_checks(base)
+    assert whole[lineage].count() == 0 and whole[zone].count() == 0
+    assert base_checks(base | {"member_lineage": base["member_lineage"].orderBy("source_row_uid").offset(1)})[lineage].count() == 1
+    rows = base["orders"].filter("timezone_assumed").count()
+    assert base_checks(base | {"entity_disposition": base["entity_disposition"].filter("entity_type <> 'order'")})[zone].count() == rows > 0
+
+
 def test_facts_of_each_case(facts):
     n = lambda i: f"ORD{i:08d}"
     assert set(facts) == {n(i) for i in (1, 4, 5, 6, 7, 8, 9, 10, 15, 16, 17, 18, 19)}
