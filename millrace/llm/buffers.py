@@ -48,23 +48,50 @@ def ship(spark) -> None:
             raise
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder for tables of one run, in the shared folder that the cluster names (a temporary one only where none is set)."""
+def scratch_root(spark) -> str:
+    """The folder of this application's tables in the shared folder that the cluster names; a temporary one only on a local master where none is set."""
     import tempfile
-    import uuid
 
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/millrace-{context.applicationId}"
+
+
+def scratch(spark, name: str) -> str:
+    """A new folder for a table of one run."""
+    import uuid
+
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark, path: str) -> None:
+    """Deletes a folder, by the file system that its path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark) -> None:
+    """Deletes all intermediate tables of this application; frames that still read one are of no use after it."""
+    remove(spark, scratch_root(spark))
 
 
 def materialise(spark, df, name: str):
     """Writes df to the shared folder and reads it back: a cut of lineage that survives lost executors."""
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.millrace_path = path
+    return out
+
+
+def discard(*frames) -> None:
+    """Deletes tables that materialise wrote, once nothing reads them any more."""
+    for df in frames:
+        remove(df.sparkSession, df.millrace_path)
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
