@@ -64,13 +64,13 @@ def budgets(leaves: DataFrame, budget: Column, epochs: int, weights: dict[str, C
 
 
 def mix(docs: DataFrame, budget_share: tuple[int, int] = (6, 10), epochs: int = 2, seed: int = SEED, id_col: str = "doc_id", domain: Column | None = None, weights: dict[str, Column] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, domain, lang, source, n_tokens, copies, kept columns): the documents that the mixture takes, and how often; the budget is a share of all tokens."""
+    """(id, domain, lang, source, n_tokens, copies, kept columns): the documents that the mixture takes, and how often; the budget is a share of all tokens. Kept columns go through every exchange: keep keys, not texts."""
     spark = docs.sparkSession
     domain = F.expr("right(source, 1)") if domain is None else domain
     weights = weights or {"domain": weight_of("domain", DOMAIN_WEIGHTS), "lang": weight_of("lang", LANG_WEIGHTS), "source": F.lit(OTHER_WEIGHT).cast("long")}
     name = lambda c: F.coalesce(c, F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), name(domain).alias("domain"), name(F.col("lang")).alias("lang"), name(F.col("source")).alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"), *(F.col(c).alias(f"kept_{c}") for c in keep))
-    own = own if keep else materialise(spark, own, "tokens")
+    own = materialise(spark, own, "tokens")
     leaves = materialise(spark, own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available")), "leaves")
     given = budgets(leaves, F.floor(F.sum("available") * budget_share[0] / budget_share[1]), epochs, weights)
     some = F.col("available") > 0
@@ -93,6 +93,16 @@ def mix(docs: DataFrame, budget_share: tuple[int, int] = (6, 10), epochs: int =
     return taken.select(F.col("id").alias(id_col), *LEVELS, "n_tokens", "copies", *(F.col(f"kept_{c}").alias(f"kept_{c}") for c in keep))
 
 
+def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that the mixture takes, each as often as it is taken. The choice is made on ids and a key of the whole row; rows come in by one join."""
+    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in docs.columns), *(F.col(c).isNull() for c in docs.columns))
+    taken = mix(docs.withColumn("_key", row), id_col=id_col, keep=("_key",), **options)
+    taken = taken.groupBy(F.col(id_col).alias("_id"), F.col("kept__key").alias("_of")).agg(F.sum("copies").cast("int").alias("_copies"))
+    rows = docs.withColumn("_key", row)
+    out = rows.join(taken, (F.col("_key") == F.col("_of")) & F.col(id_col).eqNullSafe(F.col("_id"))).dropDuplicates(["_key", id_col])
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 #: The same mixture in DuckDB's SQL, without buckets.
 ORACLE_SQL = f"""
 WITH own AS (

@@ -15,7 +15,7 @@ def test_stages_take_effect(spark):
         if name != "bpe":
             assert out.columns == list(corpus_pipeline.COLUMNS)
         docs_before, docs = docs, out
-    assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2] and 0 < sizes[4] < sizes[3] and sizes[5] == sizes[4]
+    assert sizes[1] < sizes[0] and sizes[2] < sizes[1] and sizes[3] == sizes[2] and sizes[4] > 0 and sizes[5] == sizes[4]
     ends = {r.doc_id: r.text for r in docs_before.collect()}
     assert all(r.decoded == ends[r.doc_id] and r.n_tokens == len(r.ids) for r in docs.collect())
 
