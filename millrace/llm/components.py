@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .buffers import discard, materialise
@@ -47,22 +47,24 @@ def components(links: DataFrame, name: str = "components", most_rounds: int = 10
     don't stand still after most_rounds.
     """
     spark = links.sparkSession
-    own = links.filter("u is not null and v is not null").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct()
-    edges = materialise(spark, own, name)
-    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(edges)
+
+    def put(df: DataFrame) -> tuple[DataFrame, dict]:
+        """Writes the links; tells their number and a sum over them as they are written."""
+        seen = Observation()
+        return materialise(spark, df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), name), seen.get
+
+    edges, before = put(links.filter("u is not null and v is not null").select(F.greatest("u", "v").alias("v"), F.least("u", "v").alias("u")).distinct())
     for _ in range(most_rounds):
         # Large star: every node gives its larger neighbours the least node it knows, itself included.
         real = edges.filter("u <> v")
         both = real.select("u", "v").unionByName(real.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, "u", "v", 2 * before[0]).filter("v > u").select("v", F.least("u", "least").alias("u")).distinct()
-        large = materialise(spark, large, name)
+        large = with_least(both, "u", "v", 2 * before["n"]).filter("v > u").select("v", F.least("u", "least").alias("u")).distinct()
         # Small star: every node gives its smaller neighbours, and itself, the least of them.
-        nearer = with_least(large, "v", "u", before[0])
-        small = nearer.select(F.when(F.col("u") > F.col("least"), F.col("u")).otherwise(F.col("v")).alias("v"), F.col("least").alias("u"))
-        after = materialise(spark, small.unionByName(nearer.select("v", F.col("least").alias("u"))).unionByName(edges.filter("u = v").select("v", "u")).distinct(), name)
-        discard(edges, large)
-        edges, now = after, state(after)
+        nearer = with_least(large, "v", "u", before["n"])
+        small = nearer.select(F.explode(F.array(F.struct(F.greatest("u", "least").alias("v"), F.col("least").alias("u")), F.struct("v", F.col("least").alias("u")))).alias("x")).select("x.v", "x.u")
+        after, now = put(small.filter("u <> v").unionByName(edges.filter("u = v").select("v", "u")).distinct())
+        discard(edges)
+        edges = after
         if now == before:
             break
         before = now
