@@ -24,5 +24,7 @@ def calendar_parts(day: Column) -> dict[str, Column]:
         "date_sk": F.date_format(day, "yyyyMMdd").cast("int"), "year": F.year(day), "quarter": F.quarter(day), "month": F.month(day), "day": F.dayofmonth(day),
         "iso_year": F.extract(F.lit("YEAROFWEEK"), day).cast("int"), "iso_week": F.weekofyear(day), "iso_weekday": iso.cast("int"), "year_month": F.date_format(day, "yyyy-MM"),
         "month_name": F.date_format(day, "MMMM"), "weekday_name": F.date_format(day, "EEEE"), "is_weekend": iso >= 6, "month_start": F.trunc(day, "month"), "month_end": F.last_day(day),
-        "is_month_end": day == F.last_day(day), "quarter_start": F.trunc(day, "quarter"), "quarter_end": F.date_sub(F.add_months(F.trunc(day, "quarter"), 3), 1),
+        "quarter_start": F.trunc(day, "quarter"), "quarter_end": F.date_sub(F.add_months(F.trunc(day, "quarter"), 3), 1),
+        "is_month_start": day == F.trunc(day, "month"), "is_month_end": day == F.last_day(day), "is_quarter_start": day == F.trunc(day, "quarter"), "is_quarter_end": day == F.date_sub(F.add_months(F.trunc(day, "quarter"), 3), 1),
+        "is_year_start": day == F.trunc(day, "year"), "is_year_end": day == F.date_sub(F.add_months(F.trunc(day, "year"), 12), 1),
     }

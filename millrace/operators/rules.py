@@ -52,5 +52,6 @@ def quarantined(rows: DataFrame, decided: DataFrame, found: DataFrame, by_rule:
 
 
 def panel(checks: dict[str, DataFrame]) -> DataFrame:
-    """(check_id, violation_count) of each check's violating rows."""
-    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("violation_count")).select(F.lit(name).alias("check_id"), "violation_count") for name, df in checks.items()))
+    """(check_id, violation_count) of each check's violating rows; a frame with a column violation_count counts for itself."""
+    total = lambda df: F.coalesce(F.sum("violation_count"), F.lit(0)).cast("long") if "violation_count" in df.columns else F.count("*")
+    return reduce(DataFrame.unionByName, (df.agg(total(df).alias("violation_count")).select(F.lit(name).alias("check_id"), "violation_count") for name, df in checks.items()))

@@ -11,21 +11,23 @@ from ..contracts import OPEN_END
 from ..functions.identity import surrogate_key
 
 
-def build(snapshots: DataFrame, key: str, day: str, tracked: list[str], sk_prefix: str = "dim|v1") -> DataFrame:
+def build(snapshots: DataFrame, key: str, day: str, tracked: list[str], sk_prefix: str = "dim|v1", carried: list[str] | None = None) -> DataFrame:
     """Versions [valid_from, valid_to) of each key, from snapshots by day.
 
     Snapshots of one day that disagree make the day a conflict: it ends the open version and starts none. A new version starts
-    at a key's first snapshot, at the first one after a conflict, and when a tracked column changes.
+    at a key's first snapshot, at the first one after a conflict, and when a tracked column changes. Carried columns are those of
+    the snapshot that starts a version.
     """
     state = F.sha2(F.concat_ws(chr(31), *(F.coalesce(F.col(c).cast("string"), F.lit("<NULL>")) for c in tracked)), 256)
-    days = snapshots.withColumn("_state", state).groupBy(key, day).agg(F.min("_state").alias("_state"), (F.min("_state") != F.max("_state")).alias("_conflict"), *(F.min(F.struct("_state", c))[c].alias(c) for c in tracked))
+    days = snapshots.withColumn("_state", state).groupBy(key, day).agg(F.min("_state").alias("_state"), (F.min("_state") != F.max("_state")).alias("_conflict"), F.min(F.struct("_state", *tracked, *(carried or []))).alias("_first"))
+    days = days.select(key, day, "_state", "_conflict", *(F.col(f"_first.{c}").alias(c) for c in [*tracked, *(carried or [])]))
     order = Window.partitionBy(key).orderBy(day)
     marks = days.withColumn("_before", F.lag(F.when(F.col("_conflict"), F.lit("<CONFLICT>")).otherwise(F.col("_state"))).over(order))
     bounds = marks.filter(F.col("_conflict") | F.col("_before").isNull() | (F.col("_before") != F.col("_state")))
     ends = bounds.withColumn("valid_to", F.coalesce(F.lead(day).over(order), F.lit(OPEN_END).cast("date")))
     out = ends.filter(~F.col("_conflict")).withColumnRenamed(day, "valid_from")
     sk = surrogate_key(F.lit(sk_prefix), F.col(key).cast("string"), F.col("valid_from").cast("string"))
-    return out.select(sk.alias("sk"), key, *tracked, "valid_from", "valid_to", (F.col("valid_to") == F.lit(OPEN_END).cast("date")).alias("is_current"), F.col("_state").alias("version_hash"))
+    return out.select(sk.alias("sk"), key, *tracked, *(carried or []), "valid_from", "valid_to", (F.col("valid_to") == F.lit(OPEN_END).cast("date")).alias("is_current"), F.col("_state").alias("version_hash"))
 
 
 def as_of(facts: DataFrame, versions: DataFrame, key: str, day: Column, columns: list[str], unknown: dict | None = None, how: str = "left") -> DataFrame:

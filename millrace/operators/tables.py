@@ -27,15 +27,24 @@ def lookup(df: DataFrame, dimension: DataFrame, key: list[str], columns: dict[st
     return df.join(dimension.select(*key, *columns), key, "left").fillna({c: v for c, v in columns.items() if v is not None and not isinstance(v, bool)})
 
 
-def checksum(df: DataFrame, line: Column, order: list[str], parts: int | None = None) -> DataFrame:
-    """(row_count, checksum): SHA-256 over lines in the order of columns. With parts, lines are hashed in ranges of a hash first and the hashes then in order, so that no task holds all lines."""
-    own = df.select(line.alias("_line"), *order)
-    if parts is None:
-        lines = F.array_sort(F.collect_list(F.struct(*order, "_line")))
-        return own.agg(F.count("*").alias("row_count"), F.sha2(F.concat_ws("\n", F.transform(lines, lambda x: x["_line"])), 256).alias("checksum"))
-    keyed = own.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-    inner = keyed.groupBy("_part").agg(F.count("*").alias("n"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(*order, "_line"))), lambda x: x["_line"])), 256).alias("h"))
-    return inner.agg(F.sum("n").alias("row_count"), F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("_part", "h"))), lambda x: x["h"])), 256).alias("checksum"))
+#: Rows, about, that a task holds for a checksum.
+CHECKSUM_ROWS = 100_000
+
+
+def digits_for(rows: int) -> int:
+    """The digits by which a checksum parts so many rows."""
+    digits = 1
+    while rows > CHECKSUM_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def checksum(df: DataFrame, line: Column, digits: int = 1) -> DataFrame:
+    """(row_count, checksum): SHA-256 over the sorted SHA-256s of lines. Those that start with the same digits are joined and hashed first, then these hashes in order, so that no task holds all rows."""
+    own = df.select(F.sha2(line, 256).alias("_h")).groupBy(F.substring("_h", 1, digits).alias("_part"))
+    joined = lambda c: F.sha2(F.concat_ws("\n", c), 256)
+    parts = own.agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("_h"))).alias("h"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), joined(F.transform(F.array_sort(F.collect_list(F.struct("_part", "h"))), lambda x: x["h"])).alias("checksum"))
 
 
 def profile(df: DataFrame, columns: list[str], domains: dict[str, list[str]] | None = None, patterns: dict[str, str] | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ from ..operators import scd2
 from ..operators.states import latest
 from .gates import fx_key, product_key, snapshot_key
 
+LINEAGE = ("source_file", "source_row_number", "source_row_uid", "row_hash")
+UNKNOWN_MEMBER = "__UNKNOWN__"
+
 
 def eligible(df: DataFrame, decided: DataFrame, entity_type: str, key) -> DataFrame:
     good = decided.filter(F.col("is_eligible") & (F.col("entity_type") == entity_type)).select(F.col("business_key").alias("_key"))
@@ -28,8 +31,9 @@ def _with_unknown(df: DataFrame, **values: object) -> DataFrame:
 def dim_product(products: DataFrame, decided: DataFrame) -> DataFrame:
     own = eligible(products, decided, "product", product_key())
     sk = surrogate_key(F.lit("dim_product"), F.lit("v1"), F.col("product_id"))
-    columns = ["product_id", "product_name", "product_type", "destination_country", "destination_city", "trip_days", "base_price_twd", "is_active"]
-    return _with_unknown(own.select(sk.alias("product_sk"), *columns), product_sk=0, product_id="<UNKNOWN>", product_name="Unknown")
+    columns = ["product_id", "product_name", "product_type", "destination_country", "destination_city", "trip_days", "base_price_twd"]
+    known = own.select(sk.alias("product_sk"), *columns, (F.col("is_active") == "Y").alias("is_active"), F.lit(False).alias("is_unknown"), *LINEAGE)
+    return _with_unknown(known, product_sk=0, product_name="Unknown Product", product_type="Unknown", is_unknown=True)
 
 
 def reliable_snapshots(members: DataFrame, decided: DataFrame) -> DataFrame:
@@ -38,27 +42,28 @@ def reliable_snapshots(members: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def dim_member(members: DataFrame, decided: DataFrame) -> DataFrame:
-    """Versions of level and city. A day on which a member's snapshots disagree ends its version and starts none."""
-    good = reliable_snapshots(members, decided).select("member_id", "extract_date", "member_level", "city")
-    of_members = eligible(members, decided, "member", F.col("member_id"))
-    conflict = of_members.filter("same_day_conflict").select("member_id", "extract_date").distinct()
-    both = conflict.select("member_id", "extract_date", F.explode(F.array(F.lit("<A>"), F.lit("<B>"))).alias("member_level"), F.lit(None).cast("string").alias("city"))
-    versions = scd2.build(good.unionByName(both), "member_id", "extract_date", ["member_level", "city"], "dim_member|v1")
-    births = good.select("member_id").distinct().join(of_members.groupBy("member_id").agg(F.max("canonical_birth_date").alias("birth_date")), "member_id")
-    out = versions.join(births, "member_id", "left").select(F.col("sk").alias("member_sk"), "member_id", "member_level", "city", "birth_date", "valid_from", "valid_to", "is_current", "version_hash")
-    return _with_unknown(out, member_sk=0, member_id="<UNKNOWN>", valid_from="0001-01-01", valid_to=OPEN_END, is_current=False)
+    """Versions of level and city, with what the snapshot that starts a version says. A day on which a member's snapshots disagree ends its version and starts none."""
+    carried = ["member_name", "birth_date", "register_date", "birth_date_sentinel", "birth_date_unknown", "birth_date_restatement", "_version_hash", *LINEAGE]
+    good = reliable_snapshots(members, decided).select("member_id", "extract_date", "member_level", "city", "member_name", F.col("canonical_birth_date").alias("birth_date"), "register_date", F.col("has_birth_date_sentinel").alias("birth_date_sentinel"), "birth_date_unknown", "birth_date_restatement", F.col("version_hash").alias("_version_hash"), *LINEAGE)
+    conflict = members.filter("same_day_conflict and extract_date is not null").select("member_id", "extract_date").distinct()
+    both = conflict.select("member_id", "extract_date", F.explode(F.array(F.lit("<A>"), F.lit("<B>"))).alias("member_level"))
+    versions = scd2.build(good.unionByName(both, allowMissingColumns=True), "member_id", "extract_date", ["member_level", "city"], "dim_member|v1", carried)
+    versions = versions.select(F.col("sk").alias("member_sk"), "member_id", "member_name", "member_level", "city", "birth_date", "register_date", "birth_date_sentinel", "birth_date_unknown", "birth_date_restatement", "valid_from", "valid_to", "is_current", F.col("_version_hash").alias("version_hash"), F.lit(False).alias("is_unknown"), F.col("valid_from").alias("source_extract_date"), *LINEAGE)
+    nobody = {"member_sk": 0, "member_id": UNKNOWN_MEMBER, "member_name": "Unknown Member", "member_level": "Unknown", "city": "Unknown", "birth_date_sentinel": False, "birth_date_unknown": True, "birth_date_restatement": False, "valid_from": "0001-01-01", "valid_to": OPEN_END, "is_current": True, "is_unknown": True}
+    return _with_unknown(versions, **nobody)
 
 
 def member_lineage(members: DataFrame, decided: DataFrame, dim: DataFrame) -> DataFrame:
-    good = eligible(eligible(members, decided, "member", F.col("member_id")), decided, "member_snapshot", snapshot_key())
-    versions = dim.filter("member_sk <> 0").withColumnRenamed("member_sk", "sk")
-    return scd2.lineage(good.select("source_row_uid", "member_id", "extract_date"), versions, "member_id", "extract_date").withColumnRenamed("sk", "member_sk")
+    """Every accepted snapshot row of a day without conflict, with the version that covers it."""
+    good = eligible(eligible(members.filter("not same_day_conflict"), decided, "member", F.col("member_id")), decided, "member_snapshot", snapshot_key())
+    versions = dim.filter("not is_unknown").withColumnRenamed("member_sk", "sk")
+    return scd2.lineage(good.select("source_row_uid", "source_file", "source_row_number", "row_hash", "member_id", "extract_date"), versions, "member_id", "extract_date").withColumnRenamed("sk", "member_sk")
 
 
 def dim_date(staged: dict[str, DataFrame], decided: DataFrame) -> DataFrame:
     """All days between the least and the greatest of seven kinds of accepted dates; sentinels are not among them."""
     orders = eligible(staged["orders"].filter("is_canonical_event"), decided, "order", F.col("order_id"))
-    members = reliable_snapshots(staged["members"], decided)
+    members = eligible(staged["members"], decided, "member", F.col("member_id"))
     rates = eligible(staged["fx_rates"], decided, "fx_rate", fx_key())
     kinds = [(orders, "order_business_date"), (orders, "updated_business_date"), (orders, "departure_date"), (members, "extract_date"), (members, "register_date"), (members, "canonical_birth_date"), (rates, "rate_date")]
     return scd2.calendar(*(df.select(F.col(c).alias("full_date")) for df, c in kinds))
@@ -69,17 +74,19 @@ def fact_order(orders: DataFrame, decided: DataFrame, by_rule: DataFrame, member
     good = eligible(orders.filter("is_canonical_event"), decided, "order", F.col("order_id"))
     flags = by_rule.filter("entity_type = 'order'").groupBy(F.col("business_key").alias("order_id")).agg(F.bool_or(F.col("rule_id") == "ORD-018").alias("lifecycle_warning"), F.bool_or(F.col("rule_id") == "INC-001").alias("late_event_flag"))
     one = latest(good, ["order_id"], "updated_at", ["canonical_event_hash"]).join(flags, "order_id", "left").fillna(False, ["lifecycle_warning", "late_event_flag"])
-    versions = members.filter("member_sk <> 0")
+    versions = members.filter("not is_unknown")
+    copies = orders.groupBy("order_id").agg((F.count("*") - F.countDistinct("canonical_event_hash")).alias("_surplus"))
+    one = one.join(copies, "order_id")
     one = scd2.as_of(one, versions, "member_id", F.col("order_business_date"), ["member_sk"], {"member_sk": 0})
-    one = one.join(products.filter("product_sk <> 0").select("product_id", "product_sk"), "product_id", "left").fillna(0, ["product_sk"])
+    one = one.join(products.filter("not is_unknown").select("product_id", "product_sk"), "product_id", "left").fillna(0, ["product_sk"])
     key = lambda c: F.date_format(c, "yyyyMMdd").cast("int")
     return one.select(
-        "order_id", "member_id", "product_id", "member_sk", "product_sk", key("order_business_date").alias("order_date_sk"), key("updated_business_date").alias("updated_date_sk"), key("departure_date").alias("departure_date_sk"),
-        "channel", "order_status", "quantity", "currency", F.col("amount").alias("original_amount"), "rate_to_twd", "coupon_discount_twd", "gross_amount_twd_exact", "net_amount_twd_exact",
-        reported(F.col("gross_amount_twd_exact")).alias("gross_amount_twd"), reported(F.col("net_amount_twd_exact")).alias("net_amount_twd"), "order_created_at", "updated_at", "order_business_date",
-        (F.col("member_sk") == 0).alias("unknown_member_flag"), (F.col("product_sk") == 0).alias("unknown_product_flag"), "timezone_assumed", "currency_normalized", "lifecycle_warning", "late_event_flag",
-        F.col("order_status").isin(*TERMINAL).alias("is_terminal"), F.col("duplicate_source_row_count").cast("int").alias("event_copies"), (F.col("duplicate_source_row_count") - 1).cast("int").alias("duplicate_source_row_count"),
-        "canonical_event_hash", "source_file", "source_row_number", "batch_order", "source_row_uid",
+        "order_id", "member_id", "product_id", "member_sk", "product_sk", key("order_business_date").alias("order_date_sk"), key("updated_business_date").alias("updated_date_sk"), key("departure_date").alias("departure_date_sk"), key("order_business_date").alias("fx_date_sk"),
+        "channel", "order_status", "quantity", F.col("raw_currency").alias("original_currency"), "currency", F.col("amount").alias("original_amount"), "rate_to_twd", "coupon_discount_twd", "gross_amount_twd_exact", "net_amount_twd_exact",
+        reported(F.col("gross_amount_twd_exact")).alias("gross_amount_twd"), reported(F.col("net_amount_twd_exact")).alias("net_amount_twd"), "order_created_at", "updated_at", "departure_date", "order_business_date",
+        (F.col("member_sk") == 0).alias("unknown_member_flag"), (F.col("product_sk") == 0).alias("unknown_product_flag"), (F.col("product_sk") == 0).alias("price_check_not_evaluable"), "timezone_assumed", "currency_normalized", "lifecycle_warning", "late_event_flag",
+        F.col("order_status").isin(*TERMINAL).alias("is_terminal"), F.col("duplicate_source_row_count").cast("int").alias("event_copies"), F.col("_surplus").cast("int").alias("duplicate_source_row_count"),
+        "canonical_event_hash", "source_file", "source_row_number", "batch_order", "source_row_uid", "row_hash",
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,13 @@ def read_all(spark: SparkSession, root: str, contract: Contract) -> DataFrame:
     return reduce(DataFrame.unionByName, (read_raw(spark, f"{root}/{f}", contract, f, i) for i, f in enumerate(contract.files)))
 
 
+def read_event_files(spark: SparkSession, folder: str, columns: list[str], pattern: str = "events_*.csv") -> DataFrame:
+    """All event files of a folder whose names match, as text with their file's name; files are split over tasks, as events hold no line breaks."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    own = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("escape", '"').option("pathGlobFilter", pattern).csv(folder)
+    return own.select(*(F.coalesce(c, F.lit("")).alias(c) for c in columns), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_file"))
+
+
 def canonical_json(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, indent=2, default=str) + "\n"
 
@@ -60,16 +68,17 @@ def write_evidence(spark: SparkSession, folder: str, documents: dict[str, object
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file by way of Hadoop's file system: written beside, then renamed."""
-    jvm = spark.sparkContext._jvm
-    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = system.create(beside, True)
+    """A small file by way of Hadoop's file system: written beside, then renamed over the target in one step, so that a reader sees the old or the new content."""
+    context = spark.sparkContext
+    jvm = context._jvm
+    target, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    conf = context._jsc.hadoopConfiguration()
+    out = target.getFileSystem(conf).create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    system.delete(target, False)
-    if not system.rename(beside, target):
-        raise OSError(path)
+    overwrite = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(beside.toUri(), conf).rename(beside, target, overwrite)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -87,7 +96,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def write_result_csv(df: DataFrame, folder: str, order: list[str]) -> None:
     """A bounded, sorted result as one CSV file with a header."""
-    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(folder)
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
 
 
 def generated_events(spark: SparkSession, rows: int, seed: int = 20260709, days: int = 30, resent: float = 0.01, partitions: int | None = None) -> DataFrame:

@@ -15,9 +15,15 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def state(self) -> dict:
+        """The current version, its registered files and all attempts: one small file, so that they cannot part."""
+        return json.loads(read_text(self.spark, f"{self.root}/STATE.json") or '{"version": null, "attempts": [], "files": {}}')
+
+    def _put(self, state: dict) -> None:
+        write_text(self.spark, f"{self.root}/STATE.json", json.dumps(state, ensure_ascii=False, sort_keys=True, indent=1))
+
     def current(self) -> str | None:
-        text = read_text(self.spark, f"{self.root}/CURRENT")
-        return text.strip() if text else None
+        return self.state()["version"]
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{version or self.current()}/{name}")
@@ -26,15 +32,18 @@ class Warehouse:
         df.write.mode("overwrite").parquet(f"{self.root}/{version}/{name}")
         return self.table(name, version)
 
-    def publish(self, version: str) -> None:
-        write_text(self.spark, f"{self.root}/CURRENT", version)
+    def publish(self, version: str, ledger: dict) -> None:
+        """Makes a version current, with the ledger that belongs to it."""
+        self._put(ledger | {"version": version})
 
     def discard(self, version: str) -> None:
         delete(self.spark, f"{self.root}/{version}")
 
     def ledger(self) -> dict:
-        """Attempts and registered files; small, and outside versions, so that a failure stays on record."""
-        return json.loads(read_text(self.spark, f"{self.root}/LEDGER.json") or '{"attempts": [], "files": {}}')
+        """Attempts and registered files."""
+        own = self.state()
+        return {k: own[k] for k in ("attempts", "files")}
 
     def record(self, ledger: dict) -> None:
-        write_text(self.spark, f"{self.root}/LEDGER.json", json.dumps(ledger, ensure_ascii=False, sort_keys=True, indent=1))
+        """Keeps a ledger beside the version that is current; a failure stays on record."""
+        self._put(ledger | {"version": self.current()})
