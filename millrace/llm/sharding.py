@@ -1,146 +1,105 @@
 """Operator 10: shards of equal bytes by a k-d tree over metadata.
 
-A node of the tree stands for a run of shards. The rows of a node are split at the weighted median of the dimension that is
-widest in it, where the weight is a row's bytes and width is measured against the whole table, until each leaf is one shard and
-so reaches its target bytes. Medians are found by histograms of fixed size that are narrowed round by round, for all nodes of a
-level at once; nothing but histograms reaches the driver.
+Rows of one text are a group, which no cut parts: a group's coordinates are its size, the least language and the least source of its
+rows, and its digest; its weight is all its rows' bytes. Each coordinate is put into a few bins (of size by quantiles, of the others
+by a hash), and one distributed aggregation sums the weights of the cells that bins span; there are at most 64 * 8 * 8 * 16 cells,
+however large the table. The tree is grown over these sums: a node is split at the weighted median of the dimension that is
+widest in it, as a part of the whole range, until a leaf weighs no more than its target, a LEAVES-th part of a shard, or is one cell.
+Leaves then go to the shards, heaviest first, always to the lightest.
 
-Dimensions are taken from the text: bytes, bytes per character, digest; the digest also orders rows that tie in another
-dimension. So equal texts have equal coordinates, and a group of copies stays in one shard. Texts whose copies weigh over a
-HEAVY-th part of a shard (there are at most HEAVY times as many as shards) are dealt first, heaviest to the lightest shard,
-and the tree's targets allow for them.
+So shards differ by no more than a leaf's weight, which is a hundredth of a shard or so, unless one cell weighs more: a single text
+that is larger than a shard makes its shard larger.
 
 Defined results: a null text has no bytes, size 1 and digest 0, like an empty one; slots follow a hash of the id; repeated rows get slots of
-their own; an empty table gives no rows; other columns are not read.
+their own, and rows of equal texts one shard; languages, sources or whole columns may be missing or null; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import materialise
+from .buffers import discard, materialise
 
-SHARDS, HEAVY = 8, 100
-BINS = 1024
-#: A median is settled when its bin weighs at most this part of its node.
-FINE = 0.0005
+SHARDS, LEAVES = 8, 128
+#: Bins of each dimension.
+BINS = {"size": 64, "lang": 8, "source": 8, "digest": 16}
 #: Rows that one slot bucket holds on average.
 SLOT_ROWS = 2000
-_DIMENSIONS = ("d0", "d1", "d2")
 
 
-def _coordinates() -> list[Column]:
-    """Each dimension as an ordered long: 31 bits of its value, then 32 bits of the digest."""
-    value = [F.least(F.col("size"), F.lit(2**31 - 1)), F.least((F.col("size") * 65536 / (F.col("chars") + 1)).cast("long"), F.lit(2**31 - 1)), F.shiftright(F.col("text_crc32"), 1)]
-    return [F.shiftleft(v.cast("long"), 32).bitwiseOR(F.col("text_crc32")).alias(d) for v, d in zip(value, _DIMENSIONS, strict=True)]
-
-
-def _literal(rows: DataFrame, spec: list[tuple], schema: str) -> DataFrame:
-    """Joins a few rows of the tree, at most one a shard, to rows by node."""
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(spec, schema)), "node")
+def grow(cells: np.ndarray, weights: np.ndarray, target: float, widths: tuple[int, ...] = tuple(BINS.values())) -> np.ndarray:
+    """The leaf of each cell (a row of bins): leaves are numbered from left to right."""
+    leaf, count = np.zeros(len(cells), np.int64), 0
+    stack = [np.arange(len(cells))] if len(cells) else []
+    while stack:
+        own = stack.pop()
+        low, high = cells[own].min(axis=0), cells[own].max(axis=0)
+        if weights[own].sum() <= target or not (high > low).any():
+            leaf[own], count = count, count + 1
+            continue
+        d = int(np.argmax((high - low) / np.maximum(np.array(widths) - 1, 1)))
+        per = np.bincount(cells[own, d] - low[d], weights[own])
+        below = np.cumsum(per)
+        half = below[-1] / 2
+        at = min(int(np.searchsorted(below, half)), len(per) - 2)
+        if at and half - below[at - 1] <= below[at] - half:  # the nearer of the two cuts around the median
+            at -= 1
+        left = cells[own, d] <= low[d] + at
+        stack += [own[~left], own[left]]
+    return leaf
+
+
+def deal(weights: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each leaf: heaviest first, each to the lightest shard."""
+    load, out = [0.0] * shards, np.zeros(len(weights), np.int64)
+    for i in np.lexsort((np.arange(len(weights)), -weights)).tolist():
+        out[i] = min(range(shards), key=lambda s: (load[s], s))
+        load[out[i]] += float(weights[i])
+    return out
+
+
+def _bins(edges: list[int]) -> list[Column]:
+    """Of a group, its bin in each dimension."""
+    above = [F.when(F.col("size") > e, 1).otherwise(0) for e in edges]
+    size = above[0] if above else F.lit(0)
+    for x in above[1:]:
+        size = size + x
+    hashed = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    return [size.cast("int").alias("size_bin"), hashed("lang", BINS["lang"]).cast("int").alias("lang_bin"), hashed("source", BINS["source"]).cast("int").alias("source_bin"), F.pmod("text_crc32", F.lit(BINS["digest"])).cast("int").alias("digest_bin")]
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every row, under the law `bytes`."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.char_length(text).alias("chars"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"))
-    rows = materialise(spark, rows.select("id", "size", "text_crc32", "same", *_coordinates()), "sizes")
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    groups = rows.groupBy("size", "text_crc32", "same").agg(F.sum("size").alias("weight")).filter(F.col("weight") > total / (shards * HEAVY))
-    heavy = sorted(((r.weight, r.same, r.size, r.text_crc32) for r in groups.collect()), reverse=True)
-    load = [0] * shards
-    dealt = []
-    for weight, same, size, crc in heavy:
-        least = min(range(shards), key=lambda s: (load[s], s))
-        load[least] += weight
-        dealt.append((size, crc, same, least))
-    placed = F.broadcast(spark.createDataFrame(dealt, "size long, text_crc32 long, same long, dealt int"))
-    rows = rows.join(placed, ["size", "text_crc32", "same"], "left")
-    light = rows.filter("dealt is null")
-    cuts = _grow(light, shards, load)
-    for level in cuts:
-        rows = _descend(rows if "node" in rows.columns else rows.withColumn("node", F.lit(f"0-{shards}")), level)
-    own = F.coalesce(F.col("dealt"), F.split(F.col("node"), "-")[0].cast("int")) if cuts else F.coalesce(F.col("dealt"), F.lit(0))
-    rows = rows.select("id", "size", "text_crc32", own.cast("int").alias("shard"))
-
-    buckets = max(1, count // (shards * SLOT_ROWS))
+    named = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs.columns else F.lit("")).alias(c)
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), named("lang"), named("source"))
+    rows = materialise(spark, rows, "sizes")
+    same = ["size", "text_crc32", "same"]
+    groups = rows.groupBy(*same).agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("copies"))
+    groups = materialise(spark, groups.withColumn("weight", F.col("copies") * F.col("size")), "groups")
+    points = [i / BINS["size"] for i in range(1, BINS["size"])]
+    count, total, edges = groups.agg(F.sum("copies"), F.sum("weight"), F.percentile_approx("size", points, 10_000)).first()
+    edges = sorted(set(edges or []))
+    names = [f"{d}_bin" for d in BINS]
+    binned = groups.select(*same, "weight", *_bins(edges))
+    found = binned.groupBy(*names).agg(F.sum("weight").alias("weight")).orderBy(*names).toArrow()  # a bounded number of cells
+    cells = np.stack([found.column(n).to_numpy() for n in names], axis=1).astype(np.int64)
+    weights = found.column("weight").to_numpy().astype(np.float64)
+    leaf = grow(cells, weights, (total or 0) / (shards * LEAVES))
+    home = deal(np.bincount(leaf, weights), shards)[leaf] if len(leaf) else leaf
+    places = spark.createDataFrame([(*map(int, c), int(s)) for c, s in zip(cells, home, strict=True)], ", ".join([*(f"{n} int" for n in names), "shard int"]))
+    dealt = materialise(spark, binned.join(F.broadcast(places), names).select(*same, "shard"), "dealt")
+    rows = materialise(spark, rows.join(dealt, same).select("id", "size", "text_crc32", "shard"), "shards")
+    discard(groups, dealt)
+
+    buckets = max(1, (count or 0) // (shards * SLOT_ROWS))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(buckets)))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
     place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "text_crc32", "size"))
     out = rows.withColumn("place", place).join(first, ["shard", "bucket"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _descend(rows: DataFrame, level: list[tuple]) -> DataFrame:
-    """Rows with the node that each enters; nodes are named by their run of shards, a leaf keeps its name."""
-    known = _literal(rows, level, "node string, dimension int, cut long, low string, high string")
-    key = F.coalesce(*(F.when(F.col("dimension") == i, F.col(d)) for i, d in enumerate(_DIMENSIONS)))
-    return known.withColumn("node", F.when(F.col("dimension") < 0, F.col("node")).when(key < F.col("cut"), F.col("low")).otherwise(F.col("high"))).drop("dimension", "cut", "low", "high")
-
-
-def _room(load: list[int], light: int) -> list[float]:
-    """What each shard takes of the light rows, so that all shards that are not above it come to one level."""
-    ordered, level = sorted(load), 0.0
-    for i, x in enumerate(ordered):
-        level = (light + sum(ordered[: i + 1])) / (i + 1)
-        if i + 1 == len(ordered) or level <= ordered[i + 1]:
-            break
-    return [max(0.0, level - x) for x in load]
-
-
-def _grow(light: DataFrame, shards: int, load: list[int]) -> list[list[tuple]]:
-    """The levels of the tree: of every node (name, dimension, cut, left child, right child); dimension -1 for a leaf."""
-    rows, levels, nodes = light.withColumn("node", F.lit(f"0-{shards}")), [], [(0, shards)]
-    room = _room(load, light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    ranges: dict[int, float] | None = None
-    while any(b - a > 1 for a, b in nodes):
-        spread = [f(F.shiftright(d, 32)).alias(f"{d}{n}") for d in _DIMENSIONS for f, n in ((F.min, "a"), (F.max, "b"))]
-        keys = [f(d).alias(f"{d}{n}") for d in _DIMENSIONS for f, n in ((F.min, "x"), (F.max, "y"))]
-        seen = {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("w"), *spread, *keys).collect()}
-        ranges = ranges or {i: max(1, seen[f"0-{shards}"][f"{d}b"] - seen[f"0-{shards}"][f"{d}a"]) if seen else 1 for i, d in enumerate(_DIMENSIONS)}
-        level, children, search = [], [], {}
-        for a, b in nodes:
-            name, mid = f"{a}-{b}", (a + b) // 2
-            if b - a == 1:
-                level.append((name, -1, 0, name, name))
-                children.append((a, b))
-                continue
-            children += [(a, mid), (mid, b)]
-            r = seen.get(name)
-            if r is None:
-                level.append((name, 0, 0, f"{a}-{mid}", f"{mid}-{b}"))
-                continue
-            widest = max(range(len(_DIMENSIONS)), key=lambda i: ((r[f"d{i}b"] - r[f"d{i}a"]) / ranges[i], -i))
-            left, right = sum(room[a:mid]), sum(room[mid:b])
-            target = r.w * left / max(left + right, 1e-9)
-            search[name] = {"dim": widest, "low": r[f"d{widest}x"], "high": r[f"d{widest}y"] + 1, "target": target, "below": 0, "weight": r.w, "children": (f"{a}-{mid}", f"{mid}-{b}")}
-        open_nodes = dict(search)
-        while open_nodes:
-            spec = [(n, s["dim"], s["low"], s["high"], -(-(s["high"] - s["low"]) // BINS)) for n, s in open_nodes.items()]
-            known = _literal(rows, spec, "node string, dimension int, low long, high long, step long")
-            key = F.coalesce(*(F.when(F.col("dimension") == i, F.col(d)) for i, d in enumerate(_DIMENSIONS)))
-            inside = known.withColumn("key", key).filter("key >= low and key < high")
-            found: dict[str, list] = {}
-            for r in inside.groupBy("node", F.expr("(key - low) div step").alias("bin")).agg(F.sum("size").alias("w")).collect():  # BINS rows a node at most
-                found.setdefault(r.node, []).append((r.bin, r.w))
-            for n, *_, step in spec:
-                s = open_nodes[n]
-                for at, w in sorted(found.get(n, [])):
-                    if s["below"] + w >= s["target"]:
-                        low = s["low"] + at * step
-                        s["low"], s["high"] = low, min(low + step, s["high"])
-                        break
-                    s["below"] += w
-                else:
-                    s["low"] = s["high"]
-                    w = 0
-                if step == 1 or w <= FINE * s["weight"] or s["low"] >= s["high"]:
-                    s["cut"] = s["high"] if s["target"] - s["below"] > s["below"] + w - s["target"] else s["low"]
-                    del open_nodes[n]
-        level += [(n, s["dim"], s["cut"], *s["children"]) for n, s in search.items()]
-        levels.append(level)
-        rows, nodes = _descend(rows, level), children
-    return levels
