@@ -5,15 +5,20 @@ word gets binned features; a linear-chain conditional random field with the labe
 a bounded sample of labelled documents, labels each text's lines by Viterbi decoding, and the share of words in content lines
 decides whether the text is kept.
 
-Training: MOST_TRAINING documents of the labels table, the first by a hash of their id; each line takes its document's label.
-Without labelled documents all weights are zero and every line counts as content.
+Training: MOST_TRAINING documents of the labels table, the first by a hash of their id (of rows that share an id, the first by a hash of
+their text), and their first MOST_LINES lines; each line takes its document's label. Without labelled documents all weights are
+zero and every line counts as content.
 
-Defined results: a null text has no words, so the base rules reject it; repeated rows get equal results; an empty table gives no
-rows; other columns, whatever their names, are not read.
+Equal lines are told byte by byte. Equal words are told by 64 bits: of a polynomial up to SHORT bytes, of BLAKE2b beyond.
+
+Defined results: a null text has no words, so the base rules reject it; a very long text is handled whole, in a slice of its own;
+between labels that score alike content wins; repeated rows get equal results; an empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +29,10 @@ from pyspark.sql import functions as F
 
 from .buffers import byte_codes, mix, per_row, prefix_hash, running, ship, slices, span_hash, text_buffer, word_spans
 
-#: Documents, at most, on which the CRF is trained.
-MOST_TRAINING = 4000
+#: Documents, at most, on which the CRF is trained, and lines of each.
+MOST_TRAINING, MOST_LINES = 4000, 2000
+#: Bytes of words that the span hash tells apart.
+SHORT = 64
 #: Least share of a text's words in content lines.
 LEAST_CONTENT = 0.5
 MIN_WORDS, WINDOW, MOST_REPEAT = 20, 8, 30
@@ -92,6 +99,9 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Measures:
     row = np.repeat(np.arange(len(n_words)), n_words)
     prefix = prefix_hash(byte_codes(data))
     words = span_hash(prefix, starts, ends)
+    raw = data.tobytes()
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():  # the span hash is linear in its bytes: long words are told apart by another
+        words[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
 
     inside = np.zeros(len(data) + 1, np.int8)
     inside[starts] = 1
@@ -120,7 +130,12 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Measures:
     line_start, line_end, first_word, end_word = line_start[some], line_end[some], line_edges[:-1][some], line_edges[1:][some]
     line_end = line_end - (data[line_end - 1] == 0x0A)
     line_row = np.searchsorted(offsets, line_start, "right") - 1
-    _, copy = repeats(mix(span_hash(prefix, line_start, line_end) + salt[line_row]))
+    alike, _ = repeats(mix(span_hash(prefix, line_start, line_end) + salt[line_row]))
+    copy, seen = np.zeros(len(line_row), bool), set()
+    for i in np.flatnonzero(alike).tolist():  # lines of one hash are compared byte by byte
+        line = (int(line_row[i]), raw[line_start[i] : line_end[i]])
+        copy[i] = line in seen
+        seen.add(line)
     n_dup = np.bincount(line_row[copy], minlength=len(n_words))
 
     line_words = end_word - first_word
@@ -236,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Line
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,11 +260,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Line
             for a, b, part, edges in slices(data, offsets):
                 m = measure(part, edges)
                 at = np.searchsorted(m.line_row, np.arange(b - a + 1))
-                lines = [m.line_bins[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                lines = [m.line_bins[x : min(y, x + MOST_LINES)].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(lines, pa.binary())], names=["doc_id", "quality", "lines"])
 
     rows = sorted((r.doc_id, r.quality, bytes(r.lines)) for r in sample.mapInArrow(features, "doc_id bigint, quality int, lines binary").collect() if r.lines)
-    rows = rows[: 2 * most]  # rows that repeat an id could be more
     if not rows:
         return LineCrf()
     bins = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, len(BINS))
