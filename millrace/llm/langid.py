@@ -5,12 +5,14 @@ over the n-grams of the landmarks, divided by the geometric mean of the two text
 language give a Nyström map, one-versus-rest kernel ridge regression is solved on it, and texts are scored in batches: a
 presence matrix times one matrix that holds landmarks, map and regression.
 
-Learned from a bounded sample: of each language, the first PER_LANGUAGE labelled texts by a hash of their id that are not held
-out, the first LANDMARKS of them as landmarks, and MOST_LANGUAGES languages at most. Letters are compared in lower case, all
-that is no letter is one mark, and letters beyond the ALPHABET most frequent ones of the landmarks are another.
+Learned from a bounded sample of all languages: of each, the first PER_LANGUAGE labelled texts by a hash of their id that are not held
+out, the first LANDMARKS of them as landmarks; of very many languages fewer of each, so that about SAMPLE texts and MARKS landmarks
+are read in all, and MOST_CHARS characters of each. Texts that are predicted are read whole. Letters are compared in lower case, all
+that is no letter is one mark, and letters that no landmark has are another. n-grams are numbered by a hash of SLOTS values.
 
 Defined results: `und` with score 0 for a null text or one without letters; ties go to the first language by name; without
-labelled texts all is `und`; repeated rows get equal results; an empty table gives no rows; other columns are not read.
+labelled texts all is `und`; a very long text is a slice of its own; of rows that share a sampled id and language one is learned, the
+first by a hash of its text; repeated rows get equal results; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buffers import running, ship, slices, text_buffer
+from .buffers import materialise, running, ship, slices, text_buffer
 from .presplit import LETTER, classes
 
-PER_LANGUAGE, LANDMARKS, MOST_LANGUAGES = 400, 40, 64
+PER_LANGUAGE, LANDMARKS, SAMPLE, MARKS, MOST_CHARS = 400, 40, 6400, 640, 20_000
+#: The fewest texts and landmarks of a language, however many languages there are.
+LEAST = (8, 2)
+#: Values, at most, of a presence matrix that is held at once.
+DENSE = 1 << 24
 #: Parts of a language among which its first documents are sought.
 PARTS = 32
 FOLDS = 5
-ALPHABET = 125  # symbols 2 to 126; 0 any other letter, 1 no letter
-_BITS = 7
+ALPHABET = 0xFFFF - 2  # symbols from 2 on; 0 any other letter, 1 no letter
+SLOTS = 1 << 21
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -61,17 +67,17 @@ class Spectrum:
         for text in texts:
             letters.update(text.lower())
         known = sorted((c for c in letters if table[ord(c)] == LETTER), key=lambda c: (-letters[c], c))[:ALPHABET]
-        symbol = np.where(table == LETTER, 0, 1).astype(np.uint8)
+        symbol = np.where(table == LETTER, 0, 1).astype(np.uint16)
         for i, c in enumerate(known):
             symbol[ord(c)] = i + 2
             if len(c.upper()) == 1:
                 symbol[ord(c.upper())] = i + 2
-        out = cls(symbol, [np.full(1 << (_BITS * n), -1, np.int32) for n in (1, 2, 3)], 0)
+        out = cls(symbol, [np.full(SLOTS, -1, np.int32) for _ in (1, 2, 3)], 0)
         for n in (1, 2, 3):
             found = set()
             for text in texts:
                 found.update(np.unique(grams(symbol[code_points(np.frombuffer(text.encode(), np.uint8))], n)).tolist())
-            found = sorted(found - ({1} if n == 1 else set()))
+            found = sorted(found - (set(grams(np.ones(1, np.uint16), 1).tolist()) if n == 1 else set()))
             out.feature[n - 1][found] = out.size + np.arange(len(found))
             out.size += len(found)
         return out
@@ -95,10 +101,20 @@ class Spectrum:
 
 
 def grams(symbols: np.ndarray, n: int) -> np.ndarray:
-    out = symbols[: max(0, len(symbols) - n + 1)].astype(np.int32)
+    """The slot of every n-gram."""
+    out = symbols[: max(0, len(symbols) - n + 1)].astype(np.uint32)
     for k in range(1, n):
-        out = (out << _BITS) | symbols[k : len(symbols) - n + 1 + k]
-    return out
+        out = out * np.uint32(0x9E3779B1) + symbols[k : len(symbols) - n + 1 + k]
+    out = (out ^ (out >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return (out ^ (out >> np.uint32(13))) & np.uint32(SLOTS - 1)
+
+
+def parts(space: Spectrum, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows whose presence matrices stay within DENSE values: first row, end row, presence, whether there is a letter."""
+    step = max(1, DENSE // max(1, space.size))
+    for a in range(0, len(offsets) - 1, step):
+        edges = offsets[a : a + step + 1]
+        yield a, a + len(edges) - 1, *space.presence(data[edges[0] : edges[-1]], edges - edges[0])
 
 
 @dataclass
@@ -112,11 +128,13 @@ class Model:
         n = len(offsets) - 1
         if not self.languages:
             return [UNKNOWN] * n, np.zeros(n)
-        x, letters = self.spectrum.presence(data, offsets)
-        scores = (x @ self.weights) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] + self.bias
-        best = scores.argmax(axis=1)
-        score = np.clip(scores[np.arange(n), best].astype(np.float64), 0, 1)
-        return [self.languages[i] if y else UNKNOWN for i, y in zip(best.tolist(), letters.tolist(), strict=True)], np.where(letters, score, 0.0)
+        langs, score = [], np.zeros(n)
+        for a, b, x, letters in parts(self.spectrum, data, offsets):
+            scores = (x @ self.weights) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] + self.bias
+            best = scores.argmax(axis=1)
+            langs += [self.languages[i] if y else UNKNOWN for i, y in zip(best.tolist(), letters.tolist(), strict=True)]
+            score[a:b] = np.where(letters, np.clip(scores[np.arange(b - a), best].astype(np.float64), 0, 1), 0.0)
+        return langs, score
 
 
 def fit(docs: DataFrame) -> Model:
@@ -124,20 +142,21 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     ship(spark)
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", F.xxhash64("doc_id").alias("by"))
-    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    first = usable.filter(F.col("lang").isin(langs)) if langs else usable.limit(0)
-    # First within parts of a language, so that a task gets no more than parts x PER_LANGUAGE rows of one, however many tasks there are.
+    languages = max(1, usable.agg(F.countDistinct("lang").alias("n")).first().n)
+    each, landmarks = max(LEAST[0], min(PER_LANGUAGE, SAMPLE // languages)), max(LEAST[1], min(LANDMARKS, MARKS // languages))
+    # First within parts of a language, so that a task gets no more than parts x each rows of one, however many tasks there are.
     part = F.pmod("by", F.lit(PARTS))
-    first = first.withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("by", "doc_id"))).filter(F.col("place") <= PER_LANGUAGE)
-    first = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("by", "doc_id"))).filter(F.col("place") <= PER_LANGUAGE)
-    chosen = sorted((r.lang, r.place, r.doc_id) for r in first.collect())  # PER_LANGUAGE x MOST_LANGUAGES at most
-    if not chosen:
+    first = usable.distinct().withColumn("part", part).withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("by", "doc_id"))).filter(F.col("place") <= each)
+    first = first.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("by", "doc_id"))).filter(F.col("place") <= each)
+    keys = F.broadcast(first.filter("doc_id is not null").select("doc_id", "lang", (F.col("place") <= landmarks).alias("landmark")))  # each x languages at most
+    sample = docs.filter("text is not null").select("doc_id", "lang", "text").join(keys, ["doc_id", "lang"])
+    sample = sample.groupBy("doc_id", "lang", "landmark").agg(F.min_by(F.substring("text", 1, MOST_CHARS), F.xxhash64("text")).alias("text")).select("doc_id", "lang", "text", "landmark")
+    sample = materialise(spark, sample, "sample")
+    marks = sorted((r.lang, r.doc_id, r.text) for r in sample.filter("landmark").collect())
+    if not marks:
         return Model([])
-    keys = F.broadcast(spark.createDataFrame(sorted({(d, p <= LANDMARKS) for _, p, d in chosen}), "doc_id bigint, landmark boolean"))
-    sample = docs.filter(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("doc_id", "lang", "text").join(keys, "doc_id")
-    marks = sorted((r.lang, r.doc_id, r.text) for r in sample.filter("landmark").collect())[: 2 * LANDMARKS * MOST_LANGUAGES]
     spectrum = Spectrum.of([t for _, _, t in marks])
-    lead = np.concatenate([spectrum.presence(*_one(t))[0] for _, _, t in marks])
+    lead = np.concatenate([spectrum.presence(*_one(t))[0] for _, _, t in marks])  # landmarks x features
     lead /= np.sqrt(np.maximum(lead.sum(axis=1), 1))[:, None]
     shared = spark.sparkContext.broadcast((spectrum, lead))
 
@@ -145,10 +164,10 @@ def fit(docs: DataFrame) -> Model:
         space, landmarks = shared.value
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            for a, b, part, edges in slices(data, offsets):
-                x, _ = space.presence(part, edges)
-                k = (x @ landmarks.T) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([r.tobytes() for r in k.astype(np.float64)], pa.binary())], names=["doc_id", "lang", "k"])
+            for first, _, part, edges in slices(data, offsets):
+                for a, b, x, _ in parts(space, part, edges):
+                    k = (x @ landmarks.T) / np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[first + a : first + b], batch.column(1)[first + a : first + b], pa.array([r.tobytes() for r in k.astype(np.float64)], pa.binary())], names=["doc_id", "lang", "k"])
 
     rows = sorted((r.doc_id, r.lang, bytes(r.k)) for r in sample.drop("landmark").mapInArrow(kernel, "doc_id bigint, lang string, k binary").collect())
     k = np.frombuffer(b"".join(r[2] for r in rows), np.float64).reshape(len(rows), -1)
