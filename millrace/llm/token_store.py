@@ -6,11 +6,13 @@ Any range of ids is read by seeking to its blocks and unpacking them with a few
 
     magic | blocks ... | block offsets u64 | doc ids i64 | null flags u8 | doc starts u64 | footer: 8 x u64 | magic
 
-Documents lie in ascending order of their ids across the files of a store (null ids first), equal ids in an arbitrary order.
+Documents lie in ascending order of their ids across the files of a store (null ids first), those of equal ids in the order of a hash
+of their texts, so that a store is the same however often it is written, and an id that many rows share fills several files.
 Each task writes one file under a name of its own, and the manifest, a Parquet table that Spark commits, names the files of
 the attempts that count; what a lost attempt left behind is never read.
 
-Defined results: a null text counts as empty, its only id is the end id; an empty table gives a store without files.
+Defined results: a null text counts as empty, its only id is the end id; a very long text is a slice of its own; rows that repeat another
+follow each other; other columns are not read; an empty table gives a store without files.
 """
 
 from __future__ import annotations
@@ -198,8 +200,8 @@ def write_store(docs: DataFrame, path: str, uri: str, end_id: int | None = 2, id
     ship(spark)
     with open(path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    own = own.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "id").sortWithinPartitions("id")
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"))
+    own = own.repartitionByRange(files or int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "tie").sortWithinPartitions("id", "tie", "text")
     open_uri(uri)[0].create_dir(open_uri(uri)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
