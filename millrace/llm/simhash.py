@@ -5,12 +5,12 @@ bits differ in at most two bits of one half; then some value lies within one bit
 fingerprint is put into the tables of both halves under its half and the 32 values one bit away, all that meet under a key
 are fetched and their complete distances verified, and the links found join into components.
 
-A bucket of a key gives a star for each of its parts, not its pairs. A bucket beyond MOST_BUCKET is not compared in one task:
-its members go, each by itself, under all 2081 values within two bits of the whole fingerprint. Any two members within four
-bits meet under one of them, and all that meet are within four bits, so that a star for each value is exact too.
+A bucket of a key gives a star for each of its parts, not its pairs. The members of a bucket beyond MOST_BUCKET meet in tables of one
+segment instead, the whole fingerprint: each goes under all 2081 values at most two bits away. Any two within four bits meet under
+one of them, and all that meet are within four bits, so that a star for each value is exact too; no task holds a whole bucket.
 
 Defined results: a null text has no words, and like an empty one has fingerprint zero, which links like any other; texts with
-fewer words than a shingle are one shingle; copies share their fingerprint, and so their component; an empty table gives no
+fewer words than a shingle are one shingle; a very long text is a slice of its own; copies share their fingerprint, and so their component; an empty table gives no
 rows; a null doc_id takes part but is the smallest id of a component only if all are null; other columns are not read.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import materialise, ragged, ship, slices, text_buffer, word_spans
-from .components import components
+from .components import components, join_one, with_least
 
 BITS_APART = 4
 #: Members of a bucket, at most, that one task compares among themselves.
@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text
     """(id, fingerprint, component_id) of every row: 16 hex digits, and the smallest id reachable over links of at most four bits."""
     spark = docs.sparkSession
     own = materialise(spark, fingerprints(docs, size, id_col, text_col), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = materialise(spark, own.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("_times")), "distinct")
     node = components(links(distinct, most_bucket))
-    rooted = distinct.join(node.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(node.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "_times", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(spark, rooted, "rooted")
+    named = with_least(rooted, "root", "first", rooted.count()).select("fp", F.col("least").alias("component_id"), "_times")
+    return join_one(own, named, "fp", own.count()).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
