@@ -91,24 +91,8 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     n = len(starts)
     padded = np.concatenate([data, np.zeros(32, np.uint8)])
     order = np.lexsort((np.arange(n), group))
-    label = group[order]  # equal for strings that are tied so far
-    rank = np.cumsum(np.append(0, label[1:] != label[:-1])) if n else np.zeros(0, np.int64)
+    rank = multikey_quicksort(padded, len(data), starts, lengths, order, group, shallow)
     tied = _tied(rank)
-    for depth in range(0, shallow, _STEP):
-        if not len(tied):
-            break
-        own = order[tied]
-        key = _keys(padded, np.minimum(starts[own] + depth, len(data)), lengths[own] - depth)
-        by = np.lexsort((key, rank[tied]))
-        order[tied] = own[by]
-        key, old = key[by], rank[tied]  # ranks of tied places don't change within a place's group
-        new = np.append(True, (key[1:] != key[:-1]) | (old[1:] != old[:-1]))
-        fresh = np.append(True, old[1:] != old[:-1])
-        first = np.where(new & ~fresh, 1, 0)
-        split = np.zeros(n, np.int64)
-        split[tied] = first
-        rank = rank + np.cumsum(split)
-        tied = _tied(rank)
     place = 0
     while place < len(tied):  # deep phase: a blind trie for each tie
         stop = place + 1
@@ -129,6 +113,38 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return order, shared
 
 
+def multikey_quicksort(padded: np.ndarray, size: int, starts: np.ndarray, lengths: np.ndarray, order: np.ndarray, group: np.ndarray, shallow: int) -> np.ndarray:
+    """Sorts the strings of each group, in place of order, by their first shallow bytes or somewhat more; returns ranks that are equal where strings are tied.
+
+    Every run of strings that are tied so far takes a pivot, the middle one of three of its keys at the run's depth, and parts in
+    three: less, equal, greater. What equals the pivot goes on one key deeper. All runs take a step at once.
+    """
+    n = len(order)
+    own = group[order]
+    first = np.append(True, own[1:] != own[:-1])[:n]
+    depth = np.zeros(n, np.int64)  # of each place
+    while True:
+        begin = np.flatnonzero(first)
+        long = np.diff(np.append(begin, n))
+        open_run = (long > 1) & (depth[begin] < shallow) if n else np.zeros(0, bool)
+        if not open_run.any():
+            return np.cumsum(first) - 1 if n else np.zeros(0, np.int64)
+        begin, long = begin[open_run], long[open_run]
+        run = np.repeat(np.arange(len(begin)), long)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(long) - long, long) + begin[run]
+        who = order[at]
+        key = _keys(padded, np.minimum(starts[who] + depth[at], size), lengths[who] - depth[at])
+        offset = np.cumsum(long) - long
+        pivot = np.sort(np.stack([key[offset], key[offset + long // 2], key[offset + long - 1]]), axis=0)[1][run]
+        side = run * 3 + (key > pivot) + (key >= pivot)  # less, equal, greater
+        by = np.argsort(side, kind="stable")
+        order[at], side = who[by], side[by]
+        depth[at] += _STEP * (side % 3 == 1)
+        done = (side % 3 == 1) & ((key[by] & np.uint64(0xFF)) < _STEP)  # the strings end within this key: they are equal
+        depth[at[done]] = shallow
+        first[at[1:][side[1:] != side[:-1]]] = True
+
+
 def _tied(rank: np.ndarray) -> np.ndarray:
     same = rank[1:] == rank[:-1]
     out = np.zeros(len(rank), bool)
