@@ -7,7 +7,7 @@ determinised as they are first met, and each of its transitions carries the numb
 best segmentation so far changes. A state holds the pending arcs of the BPE automaton of operator 1: (place in the byte
 trie, state they leave, count relative to the last token end).
 
-Defined results: a null text counts as empty: 0 bytes, 0 tokens; repeated rows count alike; an empty table gives no rows; other
+Defined results: a null text counts as empty: 0 bytes, 0 tokens; a very long text is a slice of its own; repeated rows count alike; an empty table gives no rows; other
 columns, whatever their names, are not read.
 """
 
@@ -239,6 +239,8 @@ class Counter:
             if to >= len(self.to):
                 self.to = np.concatenate([self.to, np.full_like(self.to, -1)])
                 self.emits = np.concatenate([self.emits, np.zeros_like(self.emits)])
+        if not -128 <= emitted < 128 and self.emits.dtype == np.int8:  # tokens of such lengths are rare
+            self.emits = self.emits.astype(np.int32)
         self.to[state, self.column[byte]], self.emits[state, self.column[byte]] = to, emitted
 
     def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
