@@ -9,7 +9,8 @@ processing stops early only when few vectors are left, and all that are left are
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; ties go to the smaller vec_id; a query's own vec_id is no candidate, however many rows have it; rows that repeat a query's
-id and vector are one query, and rows that repeat a candidate's id and vector are one candidate; other columns are not read.
+id and vector are one query, and rows that repeat a candidate's id and vector are candidates of their own, with ranks of their own;
+a score beyond a long's range, which components of 10^7 and more can have, is the end of that range; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ SCALE, CELL, QUERY_BLOCK = 256, 16384, 8192
 #: Segments by impact, and vectors left per query at which processing stops.
 SEGMENTS, FEW = 6, 64
 _QUERIES, _VECTORS = 512, 4096  # that one step of the kernel takes
+_LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -90,10 +92,10 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
 
 
 def quantised(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): integer vectors of the rows that take part, each different row once."""
+    """(vec_id, v, copies): integer vectors of the rows that take part, each different row once, and how many there are of it."""
     v = F.col(vector_col)
     usable = v.isNotNull() & F.col(id_col).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    return table.filter(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")).dropDuplicates(["vec_id", "v"])
+    return table.filter(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v")).groupBy("vec_id", "v").agg(F.count("*").alias("copies"))
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -107,13 +109,13 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     cell = F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select("vec_id", "v", cell.alias("cell"), numbers(blocks).alias("block"))
+    left = vectors.select("vec_id", "v", F.least("copies", F.lit(k)).cast("int").alias("copies"), cell.alias("cell"), numbers(blocks).alias("block"))
     right = queries.select("query_id", "q", F.xxhash64("q").alias("same"), block.alias("block"), numbers(cells).alias("cell"))
 
     def work(own: pa.Table, asked: pa.Table) -> pa.Table:
-        ids, query_ids = own.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
-        who, vec, score = best(query_ids, matrix(asked.column("q").combine_chunks(), width), ids, matrix(own.column("v").combine_chunks(), width), k) if len(ids) and len(query_ids) else (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": pa.array(query_ids[who], pa.int64()), "same": pa.array(asked.column("same").to_numpy()[who], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array([int(x) for x in score], pa.int64())})
+        ids, query_ids = np.repeat(own.column("vec_id").to_numpy(), copies := own.column("copies").to_numpy()), asked.column("query_id").to_numpy()
+        who, vec, score = best(query_ids, matrix(asked.column("q").combine_chunks(), width), ids, np.repeat(matrix(own.column("v").combine_chunks(), width), copies, axis=0), k) if len(ids) and len(query_ids) else (np.zeros(0, np.int64),) * 3
+        return pa.table({"query_id": pa.array(query_ids[who], pa.int64()), "same": pa.array(asked.column("same").to_numpy()[who], pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array([min(max(int(x), _LEAST), _MOST) for x in score], pa.int64())})
 
     found = left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(work, "query_id long, same long, vec_id long, score long")
     order = Window.partitionBy("query_id", "same").orderBy(F.desc("score"), "vec_id")
@@ -123,11 +125,11 @@ def top_k(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
 #: The same in DuckDB's SQL, for vectors of one length.
 ORACLE_SQL = f"""
 WITH v AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+  FROM (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
