@@ -187,6 +187,77 @@ def test_language(docs, rows):
     assert {(r.lang_pred, r.score) for r in langid.predict(docs, langid.Model([])).collect()} == {("und", 0.0)}
 
 
+def test_language_scores_equal_a_plain_kernel(docs):
+    """The same landmarks and regression with sets of n-grams instead of matrices and hashes."""
+    model, rows = langid.fit(docs), [r for r in docs.filter("doc_id >= 1000").limit(40).collect()]
+    held = lambda r: zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+    usable = [r for r in docs.filter("lang is not null and text is not null and doc_id is not null").collect() if not held(r)]
+    texts = {}
+    for r in usable:
+        texts.setdefault((r.lang, r.doc_id), r.text)
+    by = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    picked = {lang: sorted((d for x, d in texts if x == lang), key=lambda d: (by[d], d))[:400] for lang in {x for x, _ in texts}}
+    marks = sorted((lang, d) for lang, own in picked.items() for d in own[:40])
+    symbols = {ord(c): c for lang, d in marks for c in texts[lang, d].lower() if c.isalpha()}
+    letter = lambda c: (c.lower() if len(c.lower()) == 1 and ord(c.lower()) in symbols else "?") if c.isalpha() else "_"
+
+    def spectrum(text):
+        own = "".join(map(letter, text))
+        return {own[i : i + n] for n in (1, 2, 3) for i in range(len(own) - n + 1)} - {"_"}
+
+    spectra = [spectrum(texts[m]) for m in marks]
+    features = set().union(*spectra)
+    kernel = lambda a, b: len(a & b) / np.sqrt(max(len(a), 1) * max(len(b), 1))
+    lead = np.array([[kernel(a, b) for b in spectra] for a in spectra])
+    values, vectors = np.linalg.eigh(lead)
+    keep = values > 1e-6 * values.max()
+    nystrom = vectors[:, keep] / np.sqrt(values[keep])
+    known = [(lang, spectrum(texts[lang, d]) & features) for lang, own in picked.items() for d in own]
+    phi = np.concatenate([np.array([[kernel(x, m) for m in spectra] for _, x in known]) @ nystrom, np.ones((len(known), 1))], axis=1)
+    langs = sorted(picked)
+    y = np.array([[lang == x for x in langs] for lang, _ in known], float)
+    of = (1 / y.sum(axis=0))[y.argmax(axis=1)][:, None] / len(langs)
+    penalty = langid.RIDGE * np.eye(phi.shape[1])
+    penalty[-1, -1] = 1e-9
+    solved = np.linalg.solve(phi.T @ (phi * of) + penalty, phi.T @ (y * of))
+    assert model.languages == langs
+    for r in rows:
+        own = spectrum(r.text) & features
+        score = np.array([kernel(own, m) for m in spectra]) @ nystrom @ solved[:-1] + solved[-1]
+        (lang,), got = model.predict(*langid._one(r.text))
+        if any(c.isalpha() for c in r.text):
+            assert lang == langs[int(score.argmax())] and got[0] == pytest.approx(min(max(score.max(), 0), 1), abs=0.02)
+
+
+def test_every_language_is_learned(spark):
+    """More languages than a round number, each with letters of its own."""
+    rows = [(100 * i + k, "".join(chr(0x4E00 + 40 * i + (7 * j + k) % 40) for j in range(60)), f"l{i:03d}", None, 1) for i in range(90) for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = langid.predict(frame, langid.fit(frame)).collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id // 100:03d}" for r in got]) > 0.99
+
+
+def test_lines_and_words_of_one_polynomial_hash_are_told_apart():
+    """Two different words of two letters whose polynomial hashes modulo 2^64 agree: they are neither equal lines nor equal words."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [f"{one}\n{other}\n", f"{one}\n{one}\n", " ".join([one, *"cdefghi", other, *"cdefghi"])]
+    from millrace.llm.buffers import text_buffer
+
+    import pyarrow as pa
+
+    m = quality.measure(*text_buffer(pa.array(texts)))
+    assert [(int(a), int(b)) for a, b in zip(m.n_dup_lines, m.n_repeat_words, strict=True)] == [brute_measures(t)[3:] for t in texts] == [(0, 0), (1, 0), (0, 0)]
+
+
+def test_top_k_of_large_and_long_vectors_and_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5] * 3000), (2, [2.0, 1.0]), (2, [2.0, 1.0]), (3, [4e7] * 4), (50, [4e7] * 4)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    big = int(256 * 4e7)
+    assert got[:5] == [(0, 1, 3, 256 * big), (0, 2, 50, 256 * big), (0, 3, 2, 512 * 256), (0, 4, 2, 512 * 256), (0, 5, 1, 256 * 128)]
+    assert got[5] == (50, 1, 3, 2**63 - 1) and [r[2] for r in got[5:]] == [3, 2, 2, 1, 0]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(3)
     vectors = [rng.normal(size=8).round(2).tolist() for _ in range(300)] + [[0.5] * 8] * 60 + [[1.0, 2.0], []]
@@ -421,6 +492,52 @@ def test_sharding(docs, rows):
     assert set(slots) == set(range(8)) and others[-1] < 1.02 * others[0]
 
 
+def plain_tree(cells, target):
+    """Leaves, from left to right, of a k-d tree over [(bins, weight)], by sorting."""
+    widths = list(sharding.BINS.values())
+    spread = [(max(c[d] for c, _ in cells) - min(c[d] for c, _ in cells)) / (widths[d] - 1) for d in range(4)]
+    total = sum(w for _, w in cells)
+    if total <= target or not any(spread):
+        return [cells]
+    d = spread.index(max(spread))
+    cuts = sorted({c[d] for c, _ in cells})[:-1]
+    below = {x: sum(w for c, w in cells if c[d] <= x) for x in cuts}
+    cut = min(cuts, key=lambda x: (abs(below[x] - total / 2), x))
+    return plain_tree([c for c in cells if c[0][d] <= cut], target) + plain_tree([c for c in cells if c[0][d] > cut], target)
+
+
+def test_tree_against_a_plain_one():
+    rng = random.Random(6)
+    for _ in range(60):
+        cells = {tuple(rng.randrange(w) if rng.random() < 0.8 else 0 for w in sharding.BINS.values()): float(rng.choice([1, 2, 5, 40])) for _ in range(rng.randint(1, 80))}
+        target = sum(cells.values()) / rng.choice([1, 3, 20])
+        leaf = sharding.grow(np.array(list(cells)), np.array(list(cells.values())), target)
+        got = [sorted(c for c, x in zip(cells, leaf, strict=True) if x == i) for i in range(max(leaf) + 1)]
+        assert got == [sorted(c for c, _ in own) for own in plain_tree(list(cells.items()), target)]
+
+
+def test_shards_follow_the_tree(spark, docs, rows):
+    """Placement, from the sums of cells on, worked out again without Spark."""
+    got = {(r.size, r.text_crc32): r.shard for r in sharding.shard(docs).collect()}
+    plain = sharding.shard(docs.drop("lang", "source"))
+    assert plain.count() == len(rows)
+    groups = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).groupBy("text").agg(F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("n"))
+    groups = groups.select("text", "n", F.pmod(F.xxhash64("lang"), F.lit(8)).alias("a"), F.pmod(F.xxhash64("source"), F.lit(8)).alias("b")).collect()
+    sizes = sorted(len(g.text.encode()) + 1 for g in groups)
+    edges = sorted({sizes[max(0, -(-i * len(sizes) // 64) - 1)] for i in range(1, 64)})
+    cell = lambda g: (sum(len(g.text.encode()) + 1 > e for e in edges), g.a, g.b, zlib.crc32(g.text.encode()) % 16)
+    weight = collections.Counter()
+    for g in groups:
+        weight[cell(g)] += g.n * (len(g.text.encode()) + 1)
+    leaves = plain_tree(sorted(weight.items()), sum(weight.values()) / (8 * sharding.LEAVES))
+    load, home = [0] * 8, {}
+    for i in sorted(range(len(leaves)), key=lambda i: (-sum(w for _, w in leaves[i]), i)):
+        s = min(range(8), key=lambda s: (load[s], s))
+        load[s] += sum(w for _, w in leaves[i])
+        home |= {c: s for c, _ in leaves[i]}
+    assert all(got[len(g.text.encode()) + 1, zlib.crc32(g.text.encode())] == home[cell(g)] for g in groups)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.read.parquet(f"{SF}/labels.parquet").limit(0)
