@@ -278,7 +278,9 @@ def test_top_k(spark):
 def test_top_k_stops_only_on_proof():
     rng = np.random.default_rng(8)
     vectors = np.floor(rng.normal(size=(5000, 16)) * 256).astype(np.int64)
-    who, vec, score = topk.best(np.arange(40), vectors[:40], np.arange(5000), vectors, 5)
+    touched = []
+    who, vec, score = topk.best(np.arange(40), vectors[:40], np.arange(5000), vectors, 5, touched)
+    assert sum(a for a, _ in touched) < 0.8 * sum(b for _, b in touched)
     for q in range(40):
         s = vectors @ vectors[q]
         s[q] = -(10**9)
