@@ -6,8 +6,8 @@ is not zero, in segments by descending quantised impact, the component's size in
 are processed in that order for a block of queries, score at a time: each adds its postings to the accumulators of its vectors. What
 the rest can still add is at most the product of the norms of the query and of the vector's unprocessed components. A vector is out
 when that cannot lift it to the k-th best score known, be it the k-th best lower bound or an exact score of vectors before;
-processing stops when few vectors are left, and all that are left are scored again exactly in integers. On the tables measured
-half of the postings were touched.
+processing stops when few vectors are left, and all that are left are scored again exactly in integers. Of 16,384 dense vectors of
+64 dimensions 63 % of the postings were touched.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors count as padded with
 zeros; ties go to the smaller vec_id; a query's own vec_id is no candidate, however many rows have it; rows that repeat a query's
@@ -29,7 +29,7 @@ from .buffers import materialise, ship
 SCALE, CELL, QUERY_BLOCK = 256, 16384, 8192
 #: Levels of impact, the first after which bounds are looked at, and vectors left per query at which processing stops.
 LEVELS, FIRST_LOOK, FEW = 20, 7, 64
-_QUERIES, _VECTORS = 512, 4096  # that one step of the kernel takes
+_QUERIES, _VECTORS = 128, 1024  # that one step of the kernel takes
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
