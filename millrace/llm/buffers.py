@@ -35,7 +35,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def ship(spark) -> None:
-    """Let Python workers of a local session import this package; a cluster gets it by --py-files or an install."""
+    """Let Python workers of a local session import this package; a cluster gets it by --py-files or an install. Bounds Arrow batches for the rest of the session: records and bytes a batch are set, whatever they were."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

@@ -11,7 +11,10 @@ Tables: texts, one row for each different text under a 128-bit key, in buckets b
 passages move requests and spans but not texts again. Copies beyond the first of a text never enter the sort: a text that
 occurs twice, if it has a window at all, is removed whole.
 
-Defined results: a null text counts as empty; repeated rows get equal results; matches never cross documents; an empty table gives
+Equal strips of one anchor are one string to the sort: they are told by 128 bits, of anchor and strip, and their repeat is settled by
+that. The shallow phase is a three-way multikey quicksort on keys of seven bytes, all runs in step.
+
+Defined results: a null text counts as empty; a very long text is a slice of its own; repeated rows get equal results; matches never cross documents; an empty table gives
 no rows; other columns are not read. kept text is cut bytewise, so that a cut may split a character.
 """
 
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import byte_codes, materialise, mix, powers, prefix_hash, ragged, scratch, ship, slices, span_hash, text_buffer
+from .buffers import byte_codes, discard, materialise, mix, powers, prefix_hash, ragged, scratch, ship, slices, span_hash, text_buffer
 from .suffix_sort import deep_shallow_sort
 
 SPAN, KGRAM = 200, 32
@@ -265,8 +268,17 @@ def texts_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     distinct = own.groupBy("u1", "u2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     name = f"millrace_texts_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct.write.format("parquet").option("path", scratch(spark, "texts")).option("compression", "zstd").bucketBy(n, "u1", "u2").saveAsTable(name)
-    return spark.table(name)
+    path = scratch(spark, "texts")
+    distinct.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, "u1", "u2").saveAsTable(name)
+    out = spark.table(name)
+    out.millrace_table, out.millrace_path = name, path
+    return out
+
+
+def drop(texts: DataFrame) -> None:
+    """Takes a texts table out of the catalog and deletes it, once nothing reads it any more."""
+    texts.sparkSession.sql(f"DROP TABLE IF EXISTS {texts.millrace_table}")
+    discard(texts)
 
 
 def text_key(text: str) -> tuple:
@@ -322,11 +334,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(7)], names=names)
 
 
-def cut_texts(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GROUP) -> DataFrame:
-    """Of every different text: (u1, u2, n_bytes, n_removed, n_spans, kept_sha256, kept binary)."""
+def cut_texts(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of every different text (u1, u2, n_bytes, n_removed, n_spans, kept_sha256, kept binary); and the tables that it is read from: texts, spans."""
     texts, found = spans(docs, text_col, most_group)
     cuts = found.groupBy("u1", "u2").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
-    return texts.join(cuts, ["u1", "u2"], "left").select("u1", "u2", "text", "copies", "cuts").mapInArrow(_cut, "u1 bigint, u2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    done = texts.join(cuts, ["u1", "u2"], "left").select("u1", "u2", "text", "copies", "cuts").mapInArrow(_cut, "u1 bigint, u2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return done, texts, found
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -337,7 +350,10 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             texts = [x.decode("utf-8", "ignore") for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_u1", "_u2", "_text"])
 
-    done = cut_texts(docs, text_col).filter("n_removed > 0").select("u1", "u2", "kept").mapInArrow(whole, "_u1 bigint, _u2 bigint, _text string")
+    cut, texts, found = cut_texts(docs, text_col)
+    done = materialise(docs.sparkSession, cut.filter("n_removed > 0").select("u1", "u2", "kept").mapInArrow(whole, "_u1 bigint, _u2 bigint, _text string"), "changed")
+    drop(texts)
+    discard(found)
     u1, u2 = text_key("_own")
     rows = docs.withColumn("_own", F.coalesce(F.col(text_col), F.lit(""))).withColumns({"_k1": u1, "_k2": u2})
     out = rows.join(done, (F.col("_k1") == F.col("_u1")) & (F.col("_k2") == F.col("_u2")), "left")
@@ -346,6 +362,9 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_group: int = MOST_GROUP) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    done = materialise(docs.sparkSession, cut_texts(docs, text_col, most_group).drop("kept"), "cut")
+    cut, texts, found = cut_texts(docs, text_col, most_group)
+    done = materialise(docs.sparkSession, cut.drop("kept"), "cut")
+    drop(texts)
+    discard(found)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("own")).select(id_col, *text_key("own"))
     return rows.join(done, ["u1", "u2"]).select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -540,6 +540,38 @@ def test_shards_follow_the_tree(spark, docs, rows):
     assert all(got[len(g.text.encode()) + 1, zlib.crc32(g.text.encode())] == home[cell(g)] for g in groups)
 
 
+def test_very_long_texts(spark, library):
+    """Texts beyond a slice, beside short ones."""
+    rng = random.Random(21)
+    words = [f"{rng.choice(['it', 'Näh', 'x1', '漢字', 'don'])}{rng.choice(['', chr(39) + 's', ',', '-7', '!'])}{rng.randrange(3000)}" for _ in range(9000)]
+    long = "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "  "]) for _ in range(160_000))
+    assert len(long.encode()) > 1_300_000
+    texts = ["short", long, long[: len(long) * 9 // 10], None, "tail of it"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    ids = library[0](texts)
+    assert {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(frame, PATH).collect()} == {(i, len(x)) for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_sha256 for r in bpe.round_trip(frame, PATH).collect()} == {i: hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for i, x in enumerate(ids)}
+    assert {r.doc_id: r.ids_crc32 for r in token_store.store_digest(frame, PATH).collect()} == {i: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for i, x in enumerate(ids)}
+    assert {tuple(r)[:6] for r in quality.apply_rules(frame, quality.LineCrf()).collect()} == {(i, *brute_measures(t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(frame).collect()} == {i: f"{brute_fingerprint(t):016x}" for i, t in enumerate(texts)}
+    assert kept_ids(spark, [t or "" for t in texts]) == [0, 1, 3, 4]
+
+
+def test_every_code_point_is_split_as_by_the_library(library):
+    """All code points: alone between blanks, between letters, after an apostrophe, before a number and behind several blanks."""
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{c} a{c}b '{c}s{c}1  {c}\n" for c in points[i : i + 400]) for i in range(0, len(points), 400)]
+    with open(PATH, encoding="utf-8") as f:
+        own = token_store.LibraryEncoder(f.read())
+    from millrace.llm.buffers import text_buffer
+
+    import pyarrow as pa
+
+    for i in range(0, len(texts), 200):
+        ids, edges = own.encode(*text_buffer(pa.array(texts[i : i + 200])))
+        assert [ids[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)] == library[0](texts[i : i + 200])
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.read.parquet(f"{SF}/labels.parquet").limit(0)
