@@ -162,7 +162,8 @@ def version_lineage(spark, d):
 
 @query("""SELECT CAST(x AS VARCHAR) AS full_date, CAST(strftime(x, '%Y%m%d') AS INTEGER) AS date_sk, year(x)::INT AS year, quarter(x)::INT AS quarter, month(x)::INT AS month, day(x)::INT AS day, isoyear(x)::INT AS iso_year, week(x)::INT AS iso_week, isodow(x)::INT AS iso_weekday,
  strftime(x, '%Y-%m') AS year_month, strftime(x, '%B') AS month_name, strftime(x, '%A') AS weekday_name, isodow(x) >= 6 AS is_weekend, CAST(date_trunc('month', x)::DATE AS VARCHAR) AS month_start, CAST(last_day(x) AS VARCHAR) AS month_end, x = last_day(x) AS is_month_end,
- CAST(date_trunc('quarter', x)::DATE AS VARCHAR) AS quarter_start, CAST((date_trunc('quarter', x) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS VARCHAR) AS quarter_end
+ CAST(date_trunc('quarter', x)::DATE AS VARCHAR) AS quarter_start, CAST((date_trunc('quarter', x) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS VARCHAR) AS quarter_end,
+ x = date_trunc('month', x) AS is_month_start, x = date_trunc('quarter', x) AS is_quarter_start, x = date_trunc('quarter', x) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS is_quarter_end, x = date_trunc('year', x) AS is_year_start, x = date_trunc('year', x) + INTERVAL 1 YEAR - INTERVAL 1 DAY AS is_year_end
  FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY))::DATE AS x FROM orders)""")
 def date_dimension(spark, d):
     own = scd2.calendar(table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("full_date")))
