@@ -2,10 +2,12 @@
 
 Two deterministic transducers read the bytes. The splitter has a dozen states and marks where pieces start; a text is cut
 into chunks, the map from entering to leaving state of every chunk is worked out for all chunks at once, and the maps
-compose by a parallel prefix scan, which gives each chunk its entering state. The counter reads a piece; its states are
-determinised as they are first met, and each of its transitions carries the number of tokens by which the count of the
-best segmentation so far changes. A state holds the pending arcs of the BPE automaton of operator 1: (place in the byte
-trie, state they leave, count relative to the last token end).
+compose by a parallel prefix scan, which gives each chunk its entering state. The counter's states are determinised as they
+are first met, and each of its transitions carries the number of tokens by which the count of the best segmentation so far
+changes. A state holds the pending arcs of the BPE automaton of operator 1: (place in the byte trie, state they leave, count
+relative to the last token end). A piece enters it in state 0, so a piece's start ends every chunk; longer pieces are cut into
+chunks too. The maps of chunks hold the tokens beside the leaving state and compose by a prefix scan that starts anew with every
+piece; what a whole piece's map gives is kept and looked up when the piece comes again, and counts of pieces add up by running totals.
 
 Defined results: a null text counts as empty: 0 bytes, 0 tokens; a very long text is a slice of its own; repeated rows count alike; an empty table gives no rows; other
 columns, whatever their names, are not read.
@@ -20,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Automaton, broadcast_tables
-from .buffers import running, ship, slices, text_buffer
+from .buffers import ragged, running, ship, slices, text_buffer
 from .pieces import PieceTable
 from .presplit import BLANK, LETTER, MARK, NUMBER, byte_classes, special_spans
 
 #: Bytes of text in a chunk of the scan.
 CHUNK = 128
+#: Chunks whose maps the counter composes at once.
+AT_ONCE = 1 << 14
 #: A worker's counter starts anew beyond so many states.
 MOST_STATES = 120_000
 #: Below a place with more tokens than this, states are told apart without comparing what they allow.
@@ -243,15 +247,13 @@ class Counter:
             self.emits = self.emits.astype(np.int32)
         self.to[state, self.column[byte]], self.emits[state, self.column[byte]] = to, emitted
 
-    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each piece, as its only id."""
-        if len(self.items) > MOST_STATES:
-            self.clear()
+    def walk(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of chunks and the states they are entered in: the states they are left in, and the tokens of their transitions."""
         by = np.argsort(-lengths, kind="stable")
         begin, size = starts[by], lengths[by]
         longest = int(size[0]) if len(size) else 0
         longer = np.searchsorted(-size, -np.arange(longest + 1), "left")
-        state, total = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        state, total = states[by].astype(np.int64), np.zeros(len(by), np.int64)
         for i in range(longest):
             n = longer[i]
             byte = data[begin[:n] + i]
@@ -270,9 +272,55 @@ class Counter:
                 to = self.to[state[:n], column]
             total[:n] += self.emits[state[:n], column]
             state[:n] = to
-        out = np.zeros(len(by), np.int32)
-        out[by] = total
-        return out, np.ones(len(by), np.int64)
+        left, tokens = np.empty_like(state), np.empty_like(total)
+        left[by], tokens[by] = state, total
+        return left, tokens
+
+    def compose(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray, entered: int) -> tuple[np.ndarray, int]:
+        """Tokens of each chunk on its way, and the state after the last; first tells the chunks that begin a piece, which are entered in state 0, and entered the state before them all.
+
+        A chunk's map is worked out for the states that it can be entered in: 0, and those that the chunk before is left in. The maps,
+        with their counts, then compose by a prefix scan that starts anew with every piece, and that gives each chunk its own way.
+        """
+        n = len(starts)
+        keys = np.arange(n, dtype=np.int64) << 32
+        keys[0] |= entered
+        goes_on = np.append(~first[1:], False)
+        known, left, tokens = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        while len(keys):
+            chunk = keys >> 32
+            to, counts = self.walk(data, starts[chunk], lengths[chunk], keys & 0xFFFFFFFF)
+            known, left, tokens = np.concatenate([known, keys]), np.concatenate([left, to]), np.concatenate([tokens, counts])
+            onward = goes_on[chunk]
+            keys = np.setdiff1d((chunk[onward] + 1 << 32) | to[onward], known)
+        by = np.argsort(known)
+        known, left, tokens = known[by], left[by], tokens[by]
+        chunk = known >> 32
+        way = np.searchsorted(known, np.arange(n) << 32)
+        way[0] = np.searchsorted(known, entered)
+        step = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+        after = np.where(goes_on[chunk], np.searchsorted(known, (chunk + 1 << 32) | left), np.arange(len(known)))
+        far = 1
+        while far <= (step.max() if n else 0):
+            of = np.flatnonzero((step >= far) & (step < 2 * far))
+            way[of] = after[way[of - far]]
+            after, far = after[after], 2 * far
+        return tokens[way], int(left[way[-1]])
+
+    def run(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each piece, as its only id."""
+        if len(self.items) > MOST_STATES:
+            self.clear()
+        chunks = np.maximum(-(-lengths // CHUNK), 1)
+        piece = np.repeat(np.arange(len(starts)), chunks)
+        place = ragged(np.arange(chunks.max(initial=0)), np.zeros_like(chunks), chunks)
+        begin, size = starts[piece] + place * CHUNK, np.minimum(lengths[piece] - place * CHUNK, CHUNK)
+        out, state = np.zeros(len(starts), np.int64), 0
+        for a in range(0, len(piece), AT_ONCE):
+            b = min(a + AT_ONCE, len(piece))
+            counts, state = self.compose(data, begin[a:b], size[a:b], place[a:b] == 0, 0 if place[a] == 0 else state)
+            np.add.at(out, piece[a:b], counts)
+        return out.astype(np.int32), np.ones(len(starts), np.int64)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each row."""

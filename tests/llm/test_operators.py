@@ -106,6 +106,21 @@ def test_scan_splits_like_the_array_rules():
         assert np.array_equal(a, b)
 
 
+@pytest.mark.parametrize(("chunk", "at_once"), [(128, 1 << 14), (5, 7), (1, 3)])
+def test_counts_of_long_pieces_compose(library, monkeypatch, chunk, at_once):
+    """Pieces of many chunks, whose maps compose over chunks and over blocks of them, count as by the library."""
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    monkeypatch.setattr(token_counts, "AT_ONCE", at_once)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["a" * 3000, "ab" * 1500, letters * 80, "-=" * 900, " " * 700, "\n" * 300 + "x", "".join(rng.choice(letters) for _ in range(3000)), "".join(rng.choice(["the", "ing", "ization", "q", "AB"]) for _ in range(900))]
+    texts += ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(600)), " ".join("z" * n for n in range(120, 140)), "", "one", "\u00e9" * 400]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(x.encode()) for x in texts])])
+    machine = token_counts.Counter(bpe.Automaton(bpe.compile_automaton(bpe.Vocabulary.from_json(open(PATH, encoding="utf-8").read()))))
+    assert machine.count(data, offsets).tolist() == [len(x) for x in library[0](texts)]
+
+
 def test_token_store(docs, rows, library):
     got = [tuple(r) for r in token_store.store_digest(docs, PATH).collect()]
     ids = dict()
