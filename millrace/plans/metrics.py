@@ -8,9 +8,12 @@ fact_order (order_id, full_date, member_sk, member_id, product_sk, order_status,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException, ParseException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Star = dict[str, DataFrame]
@@ -130,13 +133,50 @@ QUESTIONS: dict[str, Callable[[Star, str, str], DataFrame]] = {
 }
 
 
+def _unlike(answer: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one of them has more often than the other, as text by column name."""
+    a, b = (df.select(*(F.col(c).cast("string").alias(c) for c in sorted(right.columns))) for df in (answer, right))
+    return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
 def grade(answer: DataFrame, right: DataFrame) -> bool:
     """Whether a candidate's rows are the metric's rows, as multisets of values by column name."""
-    columns = sorted(right.columns)
-    if sorted(answer.columns) != columns:
-        return False
-    a, b = (df.select(*(F.col(c).cast("string").alias(c) for c in columns)) for df in (answer, right))
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return sorted(answer.columns) == sorted(right.columns) and _unlike(answer, right).isEmpty()
+
+
+#: What a statement shows when it keeps to a definition, and the questions that the definition is for.
+_REVENUES = {"q01", "q02", "q03", "q05", "q06", "q07", "q10", "q12", "q13", "q14"}
+DEFINITIONS = {
+    "cancelled_counted": (re.compile(r"order_status\s*(<>|!=)\s*'cancelled'", re.I), _REVENUES),
+    "member_undated": (re.compile(r"valid_from\b.*\bvalid_to\b", re.I | re.S), {"q02", "q05", "q07", "q13"}),
+    "gross_for_net": (re.compile(r"coupon_discount_twd", re.I), {"q07", "q14"}),
+}
+
+
+def departures(question: str, sql: str) -> list[str]:
+    """The definitions that a statement does not show, in order; hints beside the verdict, which rests on rows."""
+    out = [k for k, (shown, asked) in DEFINITIONS.items() if question in asked and not shown.search(sql)]
+    return out + ["month_without_year"] * bool(re.search(r"\bmonth\s*\(", sql, re.I) and not re.search(r"\byear\s*\(", sql, re.I))
+
+
+def judge(spark: SparkSession, star: Star, answers: Iterable[tuple[str, str, str]], a: str, b: str) -> DataFrame:
+    """(answer_id, question, verdict, departures) of answers (answer_id, question, statement over the star's tables).
+
+    The verdict is right or wrong by the rows that the statement and the metric give, or error if the statement cannot be read over
+    the star or has other columns. Statements are only read from: each becomes a subquery, so that none can change anything.
+    """
+    out = []
+    for answer, question, sql in answers:
+        try:
+            own, right = spark.sql("WITH " + ", ".join(f"{t} AS (SELECT * FROM {{{t}}})" for t in star) + " SELECT * FROM (" + sql.replace("{", "{{").replace("}", "}}") + ")", **star), QUESTIONS[question](star, a, b)
+        except (AnalysisException, ParseException):
+            own = None
+        if own is not None and sorted(own.columns) == sorted(right.columns):
+            verdict = _unlike(own, right).agg(F.when(F.count("*") == 0, "right").otherwise("wrong").alias("verdict"))
+        else:
+            verdict = spark.range(1).select(F.lit("error").alias("verdict"))
+        out.append(verdict.select(F.lit(answer).alias("answer_id"), F.lit(question).alias("question"), "verdict", F.lit(",".join(departures(question, sql))).alias("departures")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def daily_revenue(events: DataFrame, products: DataFrame, rates: DataFrame) -> DataFrame:

@@ -481,6 +481,39 @@ for _key, _sql in METRIC_SQL.items():
     query(f"WITH {STAR} {_sql}", f"metric_{_key}")(_metric(_key))
 
 
+_SUM = "CAST(sum(f.amount_twd) AS DECIMAL(28,2)) AS revenue"
+_LIVE, _IN_A, _IN_B = "f.order_status <> 'cancelled'", "year(f.full_date) = 1996 AND month(f.full_date) = 12", "year(f.full_date) = 1997 AND month(f.full_date) = 1"
+_DATED = "JOIN dim_member m ON f.member_id = m.member_id AND f.full_date BETWEEN m.valid_from AND m.valid_to"
+#: Candidate answers, some of which keep to the definitions, and what they depart from.
+ANSWERS = [
+    ("A01", "q01", f"SELECT {_SUM} FROM fact_order f WHERE {_LIVE} AND {_IN_A}", ""),
+    ("A02", "q02", f"SELECT {_SUM} FROM fact_order f {_DATED} WHERE {_IN_A} AND m.member_level = '白金'", "cancelled_counted"),
+    ("A03", "q02", f"SELECT {_SUM} FROM fact_order f JOIN dim_member m ON f.member_id = m.member_id WHERE {_LIVE} AND {_IN_A} AND m.member_level = '白金'", "member_undated"),
+    ("A04", "q09", "SELECT count(*) AS members FROM (SELECT f.member_id FROM fact_order f GROUP BY f.member_id HAVING count(*) >= 2) t", ""),
+    ("A05", "q06", f"SELECT p.product_type, {_SUM} FROM fact_order f JOIN dim_product p ON f.product_sk = p.product_sk WHERE {_LIVE} AND {_IN_B} GROUP BY p.product_type", ""),
+    ("A06", "q06", f"SELECT p.product_type, {_SUM} FROM fact_order f JOIN dim_product p ON f.product_sk = p.product_sk WHERE {_LIVE} AND month(f.full_date) = 1 GROUP BY p.product_type", "month_without_year"),
+    ("A07", "q07", f"SELECT m.city, CAST(floor(sum(f.amount_twd) * 10000 / count(*)) AS BIGINT) AS average_net_e4 FROM fact_order f {_DATED} WHERE {_LIVE} GROUP BY m.city ORDER BY 2 DESC, 1 LIMIT 1", "gross_for_net"),
+    ("A08", "q10", f"SELECT f.product_sk, {_SUM}, min(p.product_name) AS product_name FROM fact_order f JOIN dim_product p ON f.product_sk = p.product_sk WHERE {_LIVE} AND {_IN_B} GROUP BY f.product_sk ORDER BY f.product_sk LIMIT 5", ""),
+    ("A09", "q12", f"SELECT '{B}' AS month, {_SUM} FROM fact_order f JOIN dim_product p ON f.product_sk = p.product_sk WHERE {_LIVE} AND p.destination_country = 'JP' AND {_IN_B}", ""),
+    ("A10", "q14", f"SELECT '{A}' AS month, CAST(sum(f.amount_twd - f.coupon_discount_twd) AS DECIMAL(28,2)) AS net_revenue FROM fact_order f WHERE {_IN_A}", "cancelled_counted"),
+    ("A11", "q15", "SELECT CAST(floor(sum(CASE WHEN f.order_status = 'completed' THEN 1000000 ELSE 0 END) / count(*)) AS BIGINT) AS share_ppm FROM fact_order f WHERE f.order_status <> 'cancelled'", ""),
+    ("A12", "q04", "SELECT p.destination_country, avg(f.cancel_flag) AS rate FROM fact_order f JOIN dim_product p ON f.product_sk = p.product_sk GROUP BY p.destination_country", None),
+]
+
+
+def _judged(answer: str, question: str, sql: str, departs: str | None) -> str:
+    if departs is None:
+        return f"SELECT '{answer}' AS answer_id, '{question}' AS question, 'error' AS verdict, '' AS departures"
+    own, right = (f"SELECT CAST(COLUMNS(*) AS VARCHAR) FROM ({x})" for x in (sql, METRIC_SQL[question]))
+    return f"SELECT '{answer}', '{question}', CASE WHEN EXISTS (({own} EXCEPT ALL {right}) UNION ALL ({right} EXCEPT ALL {own})) THEN 'wrong' ELSE 'right' END, '{departs}'"
+
+
+@query(f"WITH {STAR}, fact_order AS (SELECT * FROM fact), dim_member AS (SELECT * FROM member), dim_product AS (SELECT * FROM product) " + " UNION ALL ".join(_judged(*x) for x in reversed(ANSWERS)))
+def judged_answers(spark, d):
+    """Candidate statements for the metrics' questions, judged by the rows they give."""
+    return metrics.judge(spark, star(spark, d), [x[:3] for x in ANSWERS], A, B)
+
+
 @query("""WITH k AS (SELECT s.event_id, count(o.event_id) AS n_known, coalesce(sum(CASE WHEN o.event_type = 'error' THEN 1 ELSE 0 END), 0)::BIGINT AS label_sum FROM events s LEFT JOIN events o ON o.user_id = s.user_id AND o.ts + INTERVAL 1 DAY < s.ts GROUP BY 1)
 SELECT event_id, n_known, label_sum, CAST((label_sum * 1000000 + 2000000) // (n_known + 10) AS BIGINT) AS encoding_ppm FROM k""")
 def pit_target_encoding(spark, d):
@@ -533,13 +566,25 @@ def stream_minute_counts(spark, d):
 
 @query("WITH t AS (SELECT user_id, date_trunc('day', ts) AS day, count(*) AS n, count(DISTINCT event_type) AS types FROM events GROUP BY ALL) SELECT user_id, strftime(day, '%Y-%m-%d') AS day, types = 1 AS settled FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day DESC) = 1")
 def stream_latest_conflicts(spark, d):
-    """Micro-batches upserted into a state by business day; rows of the latest day that differ are set aside."""
-    own = events(spark, d).select("user_id", "day", F.lit(0).alias("sequence"), "event_type")
-    state, aside = None, None
+    """A stream of two deliveries, stopped between them: the latest row of each user by business day; those whose rows of that day differ are told as conflicts."""
+    folder = scratch(spark, "latest")
+    rows = table(spark, d, "events")
     for n in range(2):
-        good, bad = stream.upsert_latest(None if state is None else state.unionByName(aside), own.filter(f"pmod(hash(event_type, day), 2) = {n}"), "user_id", "day", "sequence")
-        state, aside = good, bad
-    return state.withColumn("settled", F.lit(True)).unionByName(aside.withColumn("settled", F.lit(False))).select("user_id", text(F.col("day")).alias("day"), "settled").distinct()
+        rows.filter(f"pmod(hash(event_id), 2) = {n}").write.parquet(f"{folder}/in/{n}")
+        own = stream.source(spark, f"{folder}/in/*").withColumns({"day": F.col("ts").cast("date"), "sequence": F.lit(0)})
+        state = stream.run_latest(own, f"{folder}/run", "user_id", "day", "sequence", ["event_type"])
+    return state.select("user_id", text(F.col("day")).alias("day"), (~F.col("conflict")).alias("settled"))
+
+
+@query("WITH m AS (SELECT max(ts) AS mark FROM events WHERE event_id % 7 <> 0) SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) AS late, CAST(sum(event_id) AS BIGINT) AS ids FROM events, m WHERE event_id % 7 = 0 AND ts < mark - INTERVAL 10 MINUTE GROUP BY 1")
+def stream_late_side_output(spark, d):
+    """Of a stream of two deliveries, the events that came more than ten minutes behind what was there before them."""
+    folder = scratch(spark, "late")
+    rows = table(spark, d, "events")
+    for n, delivered in enumerate(("event_id % 7 <> 0", "event_id % 7 = 0")):
+        rows.filter(delivered).write.parquet(f"{folder}/in/{n}")
+        _, late = stream.run_on_time(stream.source(spark, f"{folder}/in/*"), f"{folder}/run")
+    return late.groupBy(text(F.col("ts").cast("date")).alias("day")).agg(F.count("*").alias("late"), F.sum("event_id").alias("ids"))
 
 
 @query("SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, count(*) FILTER (WHERE event_id % 50 <> 0) AS provisional_n, count(*) AS final_n FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_id % 50 = 0) > 0")

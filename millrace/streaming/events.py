@@ -37,8 +37,7 @@ def run_minutes(spark: SparkSession, path: str, folder: str, files_per_batch: in
     def put(df: DataFrame, batch: int) -> None:
         df.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    query = counts.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    _replayed(counts, folder, put, "update")
     every = spark.read.schema("minute timestamp, event_type string, n bigint, amount decimal(28,2), batch bigint").parquet(f"{folder}/out")
     return latest(every, ["minute", "event_type"], "batch", ["n"]).drop("batch")
 
@@ -53,6 +52,53 @@ def upsert_latest(state: DataFrame | None, batch: DataFrame, key: str, time: str
     return at_top.join(several, key, "left_anti"), at_top.join(several, key, "left_semi")
 
 
+def latest_with_conflicts(events: DataFrame, key: str, time: str, sequence: str, payload: list[str]) -> DataFrame:
+    """(key, time, sequence, payload, conflict) of each key's latest row; a stream or a batch frame, and no watermark, as a key's latest row is never out of date.
+
+    One aggregation: of the rows at the top, the one with the greatest hash of its payload and the one with the least. If they differ, the
+    payloads do, and none is chosen: payload is null then. A key's state is two rows, however many there were.
+    """
+    h = F.xxhash64(*payload)
+    top = lambda by: F.max(F.struct(F.col(time).alias("t"), F.col(sequence).alias("s"), by.alias("h"), F.struct(*payload).alias("p")))
+    own = events.groupBy(key).agg(top(h).alias("a"), top(F.bitwise_not(h)).alias("b"))
+    conflict = F.col("a.h") != F.bitwise_not("b.h")
+    return own.select(key, F.col("a.t").alias(time), F.col("a.s").alias(sequence), *(F.when(~conflict, F.col(f"a.p.{c}")).alias(c) for c in payload), conflict.alias("conflict"))
+
+
+def _replayed(query: DataFrame, folder: str, put, mode: str) -> None:
+    """Runs a stream over what has come since its checkpoint."""
+    query.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def run_latest(events: DataFrame, folder: str, key: str, time: str, sequence: str, payload: list[str]) -> DataFrame:
+    """Runs a stream of events over what is there, on from its checkpoint, and returns the latest rows with conflicts.
+
+    Each micro-batch writes the keys it changed into a folder of its own, so that a batch done again replaces its first attempt."""
+    own = latest_with_conflicts(events, key, time, sequence, payload)
+    _replayed(own, folder, lambda df, n: df.withColumn("batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/out/batch={n}"), "update")
+    every = events.sparkSession.read.schema(T.StructType([*own.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    return latest(every, [key], "batch", []).drop("batch")
+
+
+def run_on_time(events: DataFrame, folder: str, delay: str = WATERMARK) -> tuple[DataFrame, DataFrame]:
+    """Runs a stream over what is there, on from its checkpoint, and returns its events on time and those that came late: more than delay before the latest time of any earlier batch.
+
+    The latest time of each batch is written beside its rows; a batch done again finds the same times before it, and replaces its first attempt."""
+    spark, rows = events.sparkSession, events.schema
+
+    def put(df: DataFrame, n: int) -> None:
+        marks = spark.read.schema("latest timestamp, batch bigint").parquet(f"{folder}/marks").filter(F.col("batch") < n) if n else spark.createDataFrame([], "latest timestamp")
+        mark = marks.agg(F.unix_micros(F.max("latest"))).first()[0]
+        late = F.lit(False) if mark is None else F.coalesce(F.col("ts") < F.timestamp_micros(F.lit(mark)) - F.expr(f"interval {delay}"), F.lit(False))
+        df.withColumn("late", late).write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+        spark.read.schema(rows).parquet(f"{folder}/rows/batch={n}").agg(F.max("ts").alias("latest")).write.mode("overwrite").parquet(f"{folder}/marks/batch={n}")
+
+    _replayed(events, folder, put, "append")
+    every = spark.read.schema(T.StructType([*rows.fields, T.StructField("late", T.BooleanType())])).parquet(f"{folder}/rows")
+    every = every.select(*rows.names, "late")
+    return every.filter("not late").drop("late"), every.filter("late").drop("late")
+
+
 def late_events(archive: DataFrame, seen: DataFrame) -> DataFrame:
     """Archived events that the stream's result lacks, because they came behind the watermark: kept for the batch."""
     return archive.join(seen.select("event_id"), "event_id", "left_anti")

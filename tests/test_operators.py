@@ -111,6 +111,15 @@ def test_grading_compares_rows(spark):
     assert metrics.grade(right.select("v", "k"), right) and not metrics.grade(right.limit(1), right) and not metrics.grade(right.withColumnRenamed("v", "w"), right)
 
 
+def test_judging_runs_statements_over_the_star_alone(spark):
+    fact = spark.createDataFrame([(1, "paid"), (1, "cancelled"), (2, "paid")], "member_id int, order_status string")
+    members = "SELECT count(*) AS members FROM (SELECT member_id FROM fact_order {} GROUP BY member_id HAVING count(*) >= 2)"
+    answers = [("a", "q09", members.format("")), ("b", "q09", members.format("WHERE order_status <> 'cancelled'")), ("c", "q09", "SELECT 1 AS members, 2 AS more"), ("d", "q09", "DROP TABLE fact_order"), ("e", "q09", "SELECT x FROM y"), ("f", "q09", "WITH t AS (SELECT '{}' AS x) SELECT bigint(1) AS members FROM t")]
+    got = {r.answer_id: r.verdict for r in metrics.judge(spark, {"fact_order": fact}, answers, "2026-05", "2026-06").collect()}
+    assert got == {"a": "right", "b": "wrong", "c": "error", "d": "error", "e": "error", "f": "right"}
+    assert metrics.departures("q07", "SELECT avg(amount_twd) FROM f WHERE month(d) = 5") == ["cancelled_counted", "member_undated", "gross_for_net", "month_without_year"]
+
+
 def test_stream_deduplicates_and_reconciles(spark, tmp_path):
     base = dt.datetime(2026, 1, 1)
     rows = [(i, base + dt.timedelta(seconds=20 * i), i % 5, "view", 1.5, "{}") for i in range(60)]
@@ -124,6 +133,24 @@ def test_stream_deduplicates_and_reconciles(spark, tmp_path):
     assert [tuple(r) for r in state.collect()] == [(2, 4, 1, "c")] and aside.count() == 2
 
 
+def test_streams_go_on_after_a_stop(spark, tmp_path):
+    """Latest rows with conflicts and late events over two deliveries, each run from the checkpoint; a run without anything new changes nothing."""
+    base = dt.datetime(2026, 1, 1)
+    row = lambda i, minute, user, kind: (i, base + dt.timedelta(minutes=minute), user, kind, 1.0, "{}")
+    waves = [[row(0, 0, 1, "a"), row(1, 60, 2, "a"), row(2, 60, 3, "a"), row(3, 5, 4, "x"), row(4, 5, 4, "y")], [row(5, 30, 1, "b"), row(6, 55, 2, "old"), row(7, 60, 3, "c"), row(8, 6, 4, "z"), row(9, 90, 5, None)]]
+    for n, rows in enumerate(waves):
+        spark.createDataFrame(rows, stream.SCHEMA).write.parquet(f"file://{tmp_path}/in/{n}")
+        for _ in range(2):
+            own = stream.source(spark, f"file://{tmp_path}/in/*").withColumn("sequence", F.lit(0))
+            state = {r.user_id: (r.event_type, r.conflict) for r in stream.run_latest(own, f"file://{tmp_path}/latest", "user_id", "ts", "sequence", ["event_type"]).collect()}
+            on_time, late = stream.run_on_time(stream.source(spark, f"file://{tmp_path}/in/*"), f"file://{tmp_path}/late")
+            ids = sorted(r.event_id for r in on_time.collect()), sorted(r.event_id for r in late.collect())
+            if n == 0:
+                assert state == {1: ("a", False), 2: ("a", False), 3: ("a", False), 4: (None, True)} and ids == ([0, 1, 2, 3, 4], [])
+    assert state == {1: ("b", False), 2: ("a", False), 3: (None, True), 4: ("z", False), 5: (None, False)}
+    assert ids == ([0, 1, 2, 3, 4, 6, 7, 9], [5, 8])
+
+
 def test_classifier_is_fitted_on_training_rows_alone(spark):
     df = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), F.rand(3).alias("b")).withColumn("y", (F.col("a") + F.col("b") > 4).cast("double"))
     train, later = df.filter("id < 300"), df.filter("id >= 300")
