@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(current: DataFrame, desired: DataFrame, key: list[str]) -> DataFrame:
@@ -64,23 +65,42 @@ def top_values(df: DataFrame, column: str, n: int = 20) -> DataFrame:
     return df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("frequency")).orderBy(F.desc("frequency"), F.col("value").asc_nulls_last()).limit(n)
 
 
+def _coarse(value: Column, kind: T.DecimalType) -> Column:
+    """A decimal cut towards zero to its first four digits, or to four decimals below ten: it never falls as the value grows, and has at most some ten thousand values for each power of ten."""
+    size = F.abs(value)
+    digits = F.length(F.floor(size).cast("string"))
+    cut = F.lit(None)
+    for n in range(max(1, kind.precision - kind.scale), 0, -1):
+        cut = F.when(digits <= n, F.floor(size, F.lit(4 - n)).cast("decimal(38,4)")).otherwise(cut)
+    return F.when(value < 0, -cut).otherwise(cut)
+
+
 def exact_quantiles(df: DataFrame, group: list[str], value: str, points: dict[str, tuple[int, int]], scale: int = 6) -> DataFrame:
     """Continuous quantiles of decimals without doubles; points are fractions (numerator, denominator).
 
-    Values are counted first, running totals tell which value holds a place, and the two places beside a quantile are
-    interpolated. A group's distinct values are ordered in one task; its rows are not.
+    Values are counted first, by themselves and by their leading digits. Running totals over the leading digits, of which a group has a
+    bounded number, tell where the two places beside each quantile lie; only values with these leading digits are then ordered.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*group).orderBy(value)
-    ranked = counts.withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
-    ranked = ranked.withColumn("_begin", F.col("_end") - F.col("_n"))
+    kind = df.schema[value].dataType
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n")).withColumn("_lead", _coarse(F.col(value), kind))
+    order = Window.partitionBy(*group).orderBy("_lead")
+    leads = counts.groupBy(*group, "_lead").agg(F.sum("_n").alias("_n")).withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*group)))
+    leads = leads.withColumn("_begin", F.col("_end") - F.col("_n"))
+
+    def places(a: int, b: int) -> tuple[Column, Column, Column]:
+        low = F.floor((F.col("_all") - 1) * a / b).cast("long")
+        return low, F.least(low + 1, F.col("_all") - 1), (F.col("_all") - 1) * a % b
+
+    holds = lambda place: (F.col("_begin") <= place) & (place < F.col("_end"))
+    asked = reduce(lambda x, y: x | y, (holds(place) for p in points.values() for place in places(*p)[:2]))
+    leads = leads.filter(asked).select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("_lead").alias("_of"), F.col("_begin").alias("_before"), "_all")
+    same = reduce(lambda x, y: x & y, (F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)), F.col("_lead") == F.col("_of"))
+    within = Window.partitionBy(*group, "_lead").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(leads, same).withColumn("_end", F.col("_before") + F.sum("_n").over(within)).withColumn("_begin", F.col("_end") - F.col("_n"))
     out = []
     for name, (a, b) in points.items():
-        at = (F.col("_all") - 1) * a
-        low, rest = F.floor(at / b).cast("long"), at % b
-        holds = lambda place: (F.col("_begin") <= place) & (place < F.col("_end"))  # noqa: B023, E731
-        first = F.max(F.when(holds(low), F.col(value)))
-        second = F.max(F.when(holds(F.least(low + 1, F.col("_all") - 1)), F.col(value)))
+        low, high, rest = places(a, b)
+        first, second = (F.max(F.when(holds(place), F.col(value))) for place in (low, high))
         part = F.max(rest).cast("decimal(10,0)") / F.lit(b).cast("decimal(10,0)")
         out.append((first + (second - first) * part).cast(f"decimal(30,{scale})").alias(name))
     return ranked.groupBy(*group).agg(*out)

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -43,6 +44,23 @@ def test_quantiles_are_exact(spark):
     assert got == {"a": (Decimal("1.1"), Decimal("1.65")), "b": (Decimal(5), Decimal(5))}
 
 
+def test_quantiles_of_many_values_are_exact(spark):
+    """Against sorted lists: negative values, zeros, powers of ten, a null group, one value in most rows and a group of one row."""
+    rng = random.Random(4)
+    some = [Decimal(rng.randint(-10 ** rng.randint(1, 12), 10 ** rng.randint(1, 12))).scaleb(-4) for _ in range(500)]
+    groups = {"a": some, "b": [Decimal("1.0000")] * 200 + [Decimal(i).scaleb(-4) for i in range(9990, 10030)], "c": [Decimal("-0.0001")], None: [Decimal(10**i) for i in range(9)] + [Decimal(-(10**i)) for i in range(9)] + [Decimal(0)]}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v] + [("a", None)], "g string, v decimal(18,4)")
+    points = {"p0": (0, 1), "p1": (1, 100), "p33": (1, 3), "p50": (1, 2), "p99": (99, 100), "p100": (1, 1)}
+    got = {r.g: r for r in tables.exact_quantiles(df, ["g"], "v", points).collect()}
+    assert got.keys() == groups.keys()
+    for g, v in groups.items():
+        v = sorted(v)
+        for name, (a, b) in points.items():
+            low, rest = divmod((len(v) - 1) * a, b)
+            want = v[low] + (v[min(low + 1, len(v) - 1)] - v[low]) * Decimal(rest) / Decimal(b)
+            assert abs(got[g][name] - want) <= Decimal("0.000001") * max(1, abs(want))
+
+
 def test_checksums_do_not_depend_on_partitions(spark):
     df = spark.range(1000).withColumn("t", F.lit("x"))
     line = F.concat_ws("|", "id", "t")
