@@ -48,6 +48,24 @@ def split_by_time(df: DataFrame, at: str, train_end: str, valid_end: str) -> Dat
     return df.withColumn("part", F.when(F.col(at) < ts(train_end), "train").when(F.col(at) < ts(valid_end), "valid").otherwise("test"))
 
 
+def leakage_checks(split: DataFrame, logical: str, at: str, available_at: str, cutoff: Column) -> DataFrame:
+    """(check, violations) of rows split into parts: logical ids in more than one part, parts whose times overlap, outcomes that are known before their own prediction, and outcomes that are not known by the cutoff."""
+    parts = split.groupBy("part").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    turn = F.when(F.col("part") == "train", 0).when(F.col("part") == "valid", 1).otherwise(2)
+    ordered = parts.withColumn("before", F.max("last").over(Window.orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)))  # three rows
+    counted = lambda df, name: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+    rows = split.agg(F.count_if(F.col(available_at) <= F.col(at)).alias("OUTCOME_KNOWN_BEFORE"), F.count_if(F.col(available_at).isNull() | (F.col(available_at) > cutoff)).alias("OUTCOME_NOT_MATURE"))
+    crossing = split.groupBy(logical).agg((F.min("part") != F.max("part")).alias("crosses")).filter("crosses")
+    rows = rows.unpivot([], ["OUTCOME_KNOWN_BEFORE", "OUTCOME_NOT_MATURE"], "check", "violations")
+    return rows.unionByName(counted(crossing, "LOGICAL_ID_CROSSES_PARTS")).unionByName(counted(ordered.filter("first <= before"), "PARTS_OVERLAP"))
+
+
+def release(checks: DataFrame) -> str:
+    """DEPLOY, or NO_DEPLOY if any check has a violation or there are no checks."""
+    found = checks.agg(F.count("*").alias("n"), F.coalesce(F.sum("violations"), F.lit(0)).alias("bad")).first()
+    return "DEPLOY" if found.n and not found.bad else "NO_DEPLOY"
+
+
 def cold_slices(df: DataFrame, keys: list[str]) -> DataFrame:
     """(part, seen_..., rows): how many rows of valid and test have keys that train has."""
     train = df.filter("part = 'train'")

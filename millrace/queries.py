@@ -544,6 +544,15 @@ def cold_start_slices(spark, d):
     return features.cold_slices(features.split_by_time(events(spark, d), "ts", "2024-01-03", "2024-01-22"), ["user_id"])
 
 
+@query("""WITH p AS (SELECT *, ts + INTERVAL 1 DAY AS known, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'train' WHEN ts < TIMESTAMP '2024-01-22' THEN 'valid' ELSE 'test' END AS part FROM events)
+SELECT 'OUTCOME_KNOWN_BEFORE' AS "check", count(*) FILTER (WHERE known <= ts) AS violations FROM p UNION ALL SELECT 'OUTCOME_NOT_MATURE', count(*) FILTER (WHERE known > TIMESTAMP '2024-01-30') FROM p
+UNION ALL SELECT 'LOGICAL_ID_CROSSES_PARTS', count(*) FROM (SELECT user_id FROM p GROUP BY 1 HAVING count(DISTINCT part) > 1) UNION ALL SELECT 'PARTS_OVERLAP', 0""")
+def leakage_panel(spark, d):
+    """A split by time alone, with users as what must not cross it: users do, and the last days' outcomes are not known yet."""
+    own = features.split_by_time(events(spark, d).withColumn("available", F.col("ts") + F.expr("interval 1 day")), "ts", "2024-01-15", "2024-01-22")
+    return features.leakage_checks(own, "user_id", "ts", "available", F.lit("2024-01-30").cast("timestamp"))
+
+
 # Streams ------------------------------------------------------------------------------------------
 
 MINUTES = "SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, event_type, count(*) AS n, CAST(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS VARCHAR) AS amount FROM events GROUP BY 1, 2"

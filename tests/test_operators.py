@@ -101,6 +101,36 @@ def test_features_see_no_future(spark):
     assert {r.part: (r.a, r.b) for r in parts} == {"train": (0, 9), "valid": (10, 19), "test": (20, 39)}
 
 
+def test_leakage_is_found_and_stops_the_release(spark):
+    """A clean split is released; each kind of leakage, one at a time, is counted under its own name and stops it."""
+    rows = [(i, i, float(i), float(i) + 2) for i in range(30)]
+    frame = lambda rows: features.split_by_time(spark.createDataFrame(rows, "id long, logical long, t double, known double"), "t", "10", "20")
+    found = lambda split: {r["check"]: r.violations for r in features.leakage_checks(split, "logical", "t", "known", F.lit(40.0)).collect()}
+    clean = frame(rows)
+    none = dict.fromkeys(["OUTCOME_KNOWN_BEFORE", "OUTCOME_NOT_MATURE", "LOGICAL_ID_CROSSES_PARTS", "PARTS_OVERLAP"], 0)
+    assert found(clean) == none and features.release(features.leakage_checks(clean, "logical", "t", "known", F.lit(40.0))) == "DEPLOY"
+    bad = {
+        "OUTCOME_KNOWN_BEFORE": frame([*rows, (30, 30, 5.0, 5.0)]), "OUTCOME_NOT_MATURE": frame([*rows, (30, 30, 25.0, 41.0)]), "LOGICAL_ID_CROSSES_PARTS": frame([*rows, (30, 3, 25.0, 27.0)]),
+        "PARTS_OVERLAP": clean.withColumn("part", F.when(F.col("id") == 12, "train").when(F.col("id") == 11, "valid").otherwise(F.col("part"))),
+    }
+    for name, split in bad.items():
+        got = found(split)
+        assert got == none | {name: 1}
+    assert features.release(features.leakage_checks(bad["OUTCOME_NOT_MATURE"], "logical", "t", "known", F.lit(40.0))) == "NO_DEPLOY"
+    assert features.release(features.leakage_checks(clean, "logical", "t", "known", F.lit(40.0)).limit(0)) == "NO_DEPLOY"
+
+
+def test_unseen_keys_fall_back_and_are_marked(spark):
+    """Without known history of the finer keys the coarser ones speak, then the prior, marked cold; the same rows in another order and partitioning give the same features, and outcomes that are not known yet change none."""
+    rows = [(i, "m1", "p1", float(i), i % 2, i + 1.5) for i in range(10)] + [(20, "m1", "p9", 12.0, 0, 14.0), (21, "m9", "p9", 12.0, 0, 14.0)]
+    df = spark.createDataFrame(rows, "id long, m string, p string, t double, y int, known double")
+    made = lambda d: sorted(map(tuple, features.hierarchical(d, d, [["m", "p"], ["m"]], "id", "t", "y", "known").collect()))
+    got = {r[0]: r for r in made(df)}
+    assert got[20][2:] == (1, False) and got[21] == (21, 200_000, 2, True) and got[9][2:] == (0, False) and got[0] == (0, 200_000, 2, True)
+    later = df.withColumn("y", F.when(F.col("known") >= 12, 1 - F.col("y")).otherwise(F.col("y")))
+    assert made(df.orderBy(F.desc("id")).repartition(5)) == made(df) == made(later)
+
+
 def test_daily_revenue_of_generated_events(spark, tmp_path):
     events = generated_events(spark, 5000)
     assert events.count() > 5000 and events.select("event_id").distinct().count() == 5000
