@@ -43,6 +43,7 @@ def test_ratios_of_totals_that_may_be_zero(spark):
 #: Of queries the tables that they write; what they read besides are plans over the sources.
 WRITES = {
     "staging_fx_rates": set(),
+    "detector_fx_003": set(),
 }
 
 
