@@ -44,6 +44,7 @@ def test_ratios_of_totals_that_may_be_zero(spark):
 WRITES = {
     "staging_fx_rates": set(),
     "detector_fx_003": set(),
+    "gate_prod_002": {"issue_hit/products"},
 }
 
 
