@@ -45,6 +45,7 @@ WRITES = {
     "staging_fx_rates": set(),
     "detector_fx_003": set(),
     "gate_prod_002": {"issue_hit/products"},
+    "gate_mem_001": {"issue_hit/members"},
 }
 
 
