@@ -46,6 +46,7 @@ WRITES = {
     "detector_fx_003": set(),
     "gate_prod_002": {"issue_hit/products"},
     "gate_mem_001": {"issue_hit/members"},
+    "check_member_sk_collision": {"issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member"},
 }
 
 
