@@ -47,6 +47,7 @@ WRITES = {
     "gate_prod_002": {"issue_hit/products"},
     "gate_mem_001": {"issue_hit/members"},
     "check_member_sk_collision": {"issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member"},
+    "check_raw_staging_member_count": set(),
 }
 
 
