@@ -48,6 +48,7 @@ WRITES = {
     "gate_mem_001": {"issue_hit/members"},
     "check_member_sk_collision": {"issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member"},
     "check_raw_staging_member_count": set(),
+    "check_member_accepted_lineage_reconciliation": {"issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member"},
 }
 
 
