@@ -51,6 +51,7 @@ WRITES = {
     "check_member_accepted_lineage_reconciliation": {"issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member"},
     "detector_mem_001": set(),
     "detector_mem_002": set(),
+    "detector_mem_011": set(),
 }
 
 
