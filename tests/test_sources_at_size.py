@@ -52,6 +52,7 @@ WRITES = {
     "detector_mem_001": set(),
     "detector_mem_002": set(),
     "detector_mem_011": set(),
+    "check_source_file_allowlist": set(),
 }
 
 
