@@ -53,6 +53,7 @@ WRITES = {
     "detector_mem_002": set(),
     "detector_mem_011": set(),
     "check_source_file_allowlist": set(),
+    "check_batch_reconciliation_uniqueness": set(),
 }
 
 
