@@ -54,6 +54,7 @@ WRITES = {
     "detector_mem_011": set(),
     "check_source_file_allowlist": set(),
     "check_batch_reconciliation_uniqueness": set(),
+    "analysis_timestamp_formats": set(),
 }
 
 
