@@ -55,6 +55,7 @@ WRITES = {
     "check_source_file_allowlist": set(),
     "check_batch_reconciliation_uniqueness": set(),
     "analysis_timestamp_formats": set(),
+    "detector_ord_002": set(),
 }
 
 
