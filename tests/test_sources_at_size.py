@@ -56,6 +56,7 @@ WRITES = {
     "check_batch_reconciliation_uniqueness": set(),
     "analysis_timestamp_formats": set(),
     "detector_ord_002": set(),
+    "detector_ord_018": set(),
 }
 
 
