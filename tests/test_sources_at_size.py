@@ -57,6 +57,7 @@ WRITES = {
     "analysis_timestamp_formats": set(),
     "detector_ord_002": set(),
     "detector_ord_018": set(),
+    "analysis_status_transitions": set(),
 }
 
 
