@@ -58,6 +58,7 @@ WRITES = {
     "detector_ord_002": set(),
     "detector_ord_018": set(),
     "analysis_status_transitions": set(),
+    "gate_entity_rule": {"issue_hit/orders", "issue_hit/members", "issue_hit/products", "issue_hit/fx_rates", "entity_rule/orders", "entity_rule/members", "entity_rule/products", "entity_rule/fx_rates"},
 }
 
 
