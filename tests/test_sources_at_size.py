@@ -61,6 +61,7 @@ WRITES = {
     "gate_entity_rule": {"issue_hit/orders", "issue_hit/members", "issue_hit/products", "issue_hit/fx_rates", "entity_rule/orders", "entity_rule/members", "entity_rule/products", "entity_rule/fx_rates"},
     "check_date_key_format": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders", "issue_hit/members", "entity_rule/members", "entity_disposition/members", "issue_hit/fx_rates", "entity_rule/fx_rates", "entity_disposition/fx_rates"},
     "check_late_event_flag_reconciliation": {"issue_hit/orders"},
+    "check_timezone_assumption_disposition_partition": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders"},
 }
 
 
