@@ -62,6 +62,7 @@ WRITES = {
     "check_date_key_format": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders", "issue_hit/members", "entity_rule/members", "entity_disposition/members", "issue_hit/fx_rates", "entity_rule/fx_rates", "entity_disposition/fx_rates"},
     "check_late_event_flag_reconciliation": {"issue_hit/orders"},
     "check_timezone_assumption_disposition_partition": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders"},
+    "check_timezone_fact_selected_source_flag": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders", "issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member", "issue_hit/products", "entity_rule/products", "entity_disposition/products"},
 }
 
 
