@@ -64,6 +64,7 @@ WRITES = {
     "check_timezone_assumption_disposition_partition": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders"},
     "check_timezone_fact_selected_source_flag": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders", "issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member", "issue_hit/products", "entity_rule/products", "entity_disposition/products"},
     "star_event_lineage": set(),
+    "check_fact_latest_state": {"issue_hit/orders", "entity_rule/orders", "entity_disposition/orders", "issue_hit/members", "entity_rule/members", "entity_disposition/members", "dim_member", "issue_hit/products", "entity_rule/products", "entity_disposition/products"},
 }
 
 
