@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import byte_codes, mix, per_row, prefix_hash, running, ship, slices, span_hash, text_buffer, word_spans
+from .buffers import byte_codes, fresh, mix, per_row, prefix_hash, running, ship, slices, span_hash, text_buffer, word_spans
 
 #: Documents, at most, on which the CRF is trained, and lines of each.
 MOST_TRAINING, MOST_LINES = 4000, 2000
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING) -> Line
                 lines = [m.line_bins[x : min(y, x + MOST_LINES)].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(lines, pa.binary())], names=["doc_id", "quality", "lines"])
 
-    rows = sorted((r.doc_id, r.quality, bytes(r.lines)) for r in sample.mapInArrow(features, "doc_id bigint, quality int, lines binary").collect() if r.lines)
+    rows = sorted((r.doc_id, r.quality, bytes(r.lines)) for r in sample.mapInArrow(fresh(features), "doc_id bigint, quality int, lines binary").collect() if r.lines)
     if not rows:
         return LineCrf()
     bins = np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, len(BINS))
@@ -293,4 +293,4 @@ def apply_rules(docs: DataFrame, crf: LineCrf, least_content: float = LEAST_CONT
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     inner = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)))
-    return inner.mapInArrow(run, ", ".join([kinds, *(f"{n} {t}" for n, t in out)])).toDF(*keep, *(n for n, _ in out))
+    return inner.mapInArrow(fresh(run), ", ".join([kinds, *(f"{n} {t}" for n, t in out)])).toDF(*keep, *(n for n, _ in out))

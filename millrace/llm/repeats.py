@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import byte_codes, discard, materialise, mix, powers, prefix_hash, ragged, scratch, ship, slices, span_hash, text_buffer
+from .buffers import byte_codes, discard, fresh, materialise, mix, powers, prefix_hash, ragged, scratch, ship, slices, span_hash, text_buffer
 from .suffix_sort import deep_shallow_sort
 
 SPAN, KGRAM = 200, 32
@@ -292,8 +292,8 @@ def spans(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GROUP)
     ship(spark)
     texts = texts_table(docs, text_col)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    strips = texts.select("u1", "u2", "text").mapInArrow(_strips, "h bigint, strip bigint, u1 bigint, u2 bigint, p bigint")
-    met = strips.repartition(n, "h").sortWithinPartitions("h", "strip").mapInArrow(_meet, "h bigint, u1 bigint, u2 bigint, p bigint, kind int")
+    strips = texts.select("u1", "u2", "text").mapInArrow(fresh(_strips), "h bigint, strip bigint, u1 bigint, u2 bigint, p bigint")
+    met = strips.repartition(n, "h").sortWithinPartitions("h", "strip").mapInArrow(fresh(_meet), "h bigint, u1 bigint, u2 bigint, p bigint, kind int")
     met = materialise(spark, met, "strips")
     whole = met.filter("(kind & 1) = 1").select("u1", "u2", F.expr("p >> 22").alias("first"), F.expr(f"(p >> 22) + ((p >> 12) & 1023) + {SPAN - 1}").alias("end"))
     wanted = met.filter("kind >= 2").select("u1", "u2", "h", "p")
@@ -301,12 +301,12 @@ def spans(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GROUP)
     some = not large.isEmpty()
     marked = wanted.join(large, "h", "left").fillna(False, ["wide"]) if some else wanted.withColumn("wide", F.lit(False))
     asked = marked.groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "p", "wide")).alias("asked"))
-    fetched = texts.select("u1", "u2", "text").join(asked, ["u1", "u2"]).select("u1", "u2", "text", "asked").mapInArrow(_fetch, "h bigint, u1 bigint, u2 bigint, p bigint, wide boolean, strip binary")
+    fetched = texts.select("u1", "u2", "text").join(asked, ["u1", "u2"]).select("u1", "u2", "text", "asked").mapInArrow(fresh(_fetch), "h bigint, u1 bigint, u2 bigint, p bigint, wide boolean, strip binary")
     fetched = materialise(spark, fetched, "fetched") if some else fetched
     narrow = fetched.filter("not wide") if some else fetched
-    found = narrow.select("h", "u1", "u2", "p", "strip").repartition(n, "h").sortWithinPartitions("h").mapInArrow(_sort, "u1 bigint, u2 bigint, first bigint, end bigint")
+    found = narrow.select("h", "u1", "u2", "p", "strip").repartition(n, "h").sortWithinPartitions("h").mapInArrow(fresh(_sort), "u1 bigint, u2 bigint, first bigint, end bigint")
     if some:
-        windows = fetched.filter("wide").select("h", "u1", "u2", "p", "strip").mapInArrow(_windows, "h bigint, before bigint, w1 bigint, w2 bigint, u1 bigint, u2 bigint, place bigint")
+        windows = fetched.filter("wide").select("h", "u1", "u2", "p", "strip").mapInArrow(fresh(_windows), "h bigint, before bigint, w1 bigint, w2 bigint, u1 bigint, u2 bigint, place bigint")
         same = ["h", "before", "w1", "w2"]
         twice = windows.groupBy(*same).agg(F.count("*").alias("times")).filter("times > 1").drop("times")
         around = windows.join(twice, same).groupBy("u1", "u2", "place").agg(F.max("before").alias("left"), F.min("before").alias("right"))
@@ -338,7 +338,7 @@ def cut_texts(docs: DataFrame, text_col: str = "text", most_group: int = MOST_GR
     """Of every different text (u1, u2, n_bytes, n_removed, n_spans, kept_sha256, kept binary); and the tables that it is read from: texts, spans."""
     texts, found = spans(docs, text_col, most_group)
     cuts = found.groupBy("u1", "u2").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
-    done = texts.join(cuts, ["u1", "u2"], "left").select("u1", "u2", "text", "copies", "cuts").mapInArrow(_cut, "u1 bigint, u2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    done = texts.join(cuts, ["u1", "u2"], "left").select("u1", "u2", "text", "copies", "cuts").mapInArrow(fresh(_cut), "u1 bigint, u2 bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     return done, texts, found
 
 
@@ -351,7 +351,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["_u1", "_u2", "_text"])
 
     cut, texts, found = cut_texts(docs, text_col)
-    done = materialise(docs.sparkSession, cut.filter("n_removed > 0").select("u1", "u2", "kept").mapInArrow(whole, "_u1 bigint, _u2 bigint, _text string"), "changed")
+    done = materialise(docs.sparkSession, cut.filter("n_removed > 0").select("u1", "u2", "kept").mapInArrow(fresh(whole), "_u1 bigint, _u2 bigint, _text string"), "changed")
     drop(texts)
     discard(found)
     u1, u2 = text_key("_own")

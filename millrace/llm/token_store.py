@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import scratch, ship, slices, text_buffer
+from .buffers import kept, scratch, ship, slices, text_buffer
 from .pieces import PieceTable
 
 MAGIC = b"MRTOKEN1"
@@ -178,7 +178,7 @@ class LibraryEncoder:
         return self.pieces.encode(data, offsets)
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
+_ENCODERS: dict[str, LibraryEncoder] = kept()
 
 
 def library_encoder(text: str) -> LibraryEncoder:

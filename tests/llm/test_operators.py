@@ -8,12 +8,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm import bpe, langid, mixing, near_copies, quality, repeats, sharding, simhash, suffix_sort, token_counts, token_store, topk
+from millrace.llm import bpe, buffers, langid, mixing, near_copies, quality, repeats, sharding, simhash, suffix_sort, token_counts, token_store, topk
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -429,6 +430,24 @@ def test_texts_of_the_same_words_meet_each_other(spark):
     assert kept_ids(spark, texts) == expected
 
 
+def test_a_kernel_begins_without_the_tables_of_other_operators():
+    """Idle workers once kept them for the rest of the session, so that an executor went beyond its memory stages later."""
+    left = []
+
+    def leave(batches):
+        bpe._AUTOMATA["left"] = None
+        yield from batches
+
+    def look(batches):
+        for batch in batches:
+            left.append(dict(bpe._AUTOMATA))
+            yield batch
+
+    rows = [pa.RecordBatch.from_pydict({"x": [1]})]
+    assert list(look(leave(rows))) == rows and left == [{"left": None}]
+    assert list(buffers.fresh(look)(rows)) == rows and left[1:] == [{}]
+
+
 def brute_repeats(rows):
     raw, count = [(r[0], (r[1] or "").encode()) for r in rows], collections.Counter()
     for _, t in raw:
