@@ -430,6 +430,28 @@ def test_texts_of_the_same_words_meet_each_other(spark):
     assert kept_ids(spark, texts) == expected
 
 
+def test_near_copies_come_through_fingerprints(spark, monkeypatch):
+    """Without the index of prefixes, copies within operator 6's four bits are still found, and only copies; its links are those of all pairs."""
+    rng = random.Random(14)
+    texts, expected = [], []
+    for i in range(40):
+        own = [f"f{i}x{rng.randrange(10**6)}" for _ in range(3000)]
+        expected.append(len(texts))
+        texts += [" ".join(own), " ".join([*own[:-1], "other"])]
+    prints = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()
+    fp = {r.doc_id: r.fp & (1 << 64) - 1 for r in prints}
+    assert all((fp[k] ^ fp[k + 1]).bit_count() <= 4 for k in expected)
+    monkeypatch.setattr(near_copies, "FEW", 100)
+    monkeypatch.setattr(near_copies, "_pairs", lambda similarity: lambda batches: (b.slice(0, 0).select(["u", "v"]) for b in [] if b))
+    assert kept_ids(spark, texts) == expected
+
+    base = [rng.getrandbits(63) for _ in range(6)]
+    values = [b ^ sum(1 << k for k in rng.sample(range(63), rng.randrange(4))) for b in base for _ in range(12)] + base[:2]
+    found = near_copies.within_bits(spark.createDataFrame(list(enumerate(values)), "own long, fp long")).collect()
+    wanted = roots(len(values), [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4])
+    assert roots(len(values), [(r.v, r.u) for r in found]) == wanted and all(r.u < r.v for r in found)
+
+
 def test_a_kernel_begins_without_the_tables_of_other_operators():
     """Idle workers once kept them for the rest of the session, so that an executor went beyond its memory stages later."""
     left = []
